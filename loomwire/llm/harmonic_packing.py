@@ -6,8 +6,7 @@ shuffle: each task fills its own bins, at most one open bin a class, and its ope
 the end, which leaves one short sequence a task. A document is cut only where its class would waste more than `waste`
 tokens a bin: then a piece of C/(k+1) goes to class k+1, whose bins it fills, and the rest is classed anew.
 
-Token ids are those of a `tokenizers` file, plus an end id. Texts are split at single spaces, where the byte-level
-pre-tokenizer always splits, and a chunk's ids are kept in a bounded memory, so repeated words are encoded once.
+Token ids are those of a `tokenizers` byte-level BPE file, plus an end id.
 
 Defined results: a null or empty text is the end id alone; very long texts are many full pieces; repeated rows are
 packed each; null ids are kept; an empty table gives no rows; other columns are ignored.
@@ -29,10 +28,9 @@ from pyspark.sql import types as T
 from loomwire.llm._common import read
 
 CAPACITY, END_ID, WASTE = 2048, 1, 48
-#: Chunks whose ids a worker remembers; beyond it, the memory starts anew.
-REMEMBERED = 400_000
-#: A space that starts a chunk: what follows it isn't white space.
-_SPLIT = re.compile(r" (?=\S)")
+#: The byte-level pre-tokenizer's pattern, but for white space.
+_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+"
+_RUN = re.compile(r"\s\s")
 
 
 def byte_bpe() -> str:
@@ -42,35 +40,35 @@ def byte_bpe() -> str:
 
 
 class Encoder:
-    """Texts to ids as little-endian 32-bit bytes."""
+    """Texts to ids as little-endian 32-bit bytes: the ids of a `tokenizers` byte-level BPE file.
+
+    The merges run in tiktoken, which is several times faster on one core, over ranks taken from the same file (an id
+    is its merge's rank there). A text with the file's special strings goes to `tokenizers` itself.
+    """
 
     def __init__(self, path: str) -> None:
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        byte = {chr(c): b for b, c in _byte_characters()}
+        ranks = {bytes(byte[c] for c in w): i for w, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if w not in self.special}
+        made = lambda name, pattern: tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.spaced, self.plain = made("spaced", rf"{_WORDS}|\s+(?!\S)|\s+"), made("plain", rf"{_WORDS}|\s+")
 
     def __call__(self, text: str) -> bytes:
         if any(s in text for s in self.special):
-            return self.whole([text])[0]
-        parts = _SPLIT.split(text)
-        parts[1:] = [" " + p for p in parts[1:]]
-        known = self.known
-        try:
-            return b"".join([known[p] for p in parts])
-        except KeyError:
-            pass
-        if len(known) > REMEMBERED:
-            known.clear()
-        new = [p for p in dict.fromkeys(parts) if p not in known]
-        short = [p for p in new if len(p) <= 64]
-        known.update(zip(short, self.whole(short), strict=True))
-        rest = dict(zip(long := [p for p in new if len(p) > 64], self.whole(long), strict=True))
-        return b"".join([known.get(p) or rest.get(p, b"") for p in parts])
+            return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        # the look-ahead matters only before a run of white space, and costs a third of the time
+        return np.asarray((self.spaced if _RUN.search(text) else self.plain).encode_ordinary(text), "<u4").tobytes()
+
+
+def _byte_characters() -> list[tuple[int, int]]:
+    """Byte-level BPE writes a byte as a printable character: itself, or the next one from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return [(b, b) for b in sorted(shown)] + [(b, 256 + i) for i, b in enumerate(hidden)]
 
 
 def cuts(length: int, capacity: int = CAPACITY, waste: int = WASTE) -> list[tuple[int, int]]:
