@@ -9,12 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 def registered() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
     """Each operator's query and, where SQL can express it, the equivalent SQL."""
-    from loomwire.llm import chat_format, decontaminate, harmonic_packing, jump_sharding
+    from loomwire.llm import block_topk, chat_format, decontaminate, harmonic_packing, jump_sharding, license_digest, url_templates
 
     modules = {
         "op1_chat_format": chat_format,
         "op3_harmonic_packing": harmonic_packing,
         "op4_jump_sharding": jump_sharding,
         "op5_decontaminate": decontaminate,
+        "op6_block_topk": block_topk,
+        "op8_url_templates": url_templates,
+        "op10_license_digest": license_digest,
     }
     return {name: (m.query, m.ORACLE) for name, m in modules.items()}
