@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 def registered() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
     """Each operator's query and, where SQL can express it, the equivalent SQL."""
-    from loomwire.llm import block_topk, chat_format, decontaminate, harmonic_packing, jump_sharding, license_digest, url_templates
+    from loomwire.llm import block_topk, chat_format, decontaminate, harmonic_packing, jump_sharding, license_digest, rule_quality, url_templates
 
     modules = {
         "op1_chat_format": chat_format,
@@ -18,6 +18,7 @@ def registered() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], st
         "op5_decontaminate": decontaminate,
         "op6_block_topk": block_topk,
         "op8_url_templates": url_templates,
+        "op9_rule_quality": rule_quality,
         "op10_license_digest": license_digest,
     }
     return {name: (m.query, m.ORACLE) for name, m in modules.items()}
