@@ -9,14 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 def registered() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
     """Each operator's query and, where SQL can express it, the equivalent SQL."""
-    from loomwire.llm import block_topk, chat_format, decontaminate, harmonic_packing, jump_sharding, license_digest, rule_quality, url_templates
+    from loomwire.llm import block_topk, chat_format, decontaminate, harmonic_packing, jump_sharding, license_digest, line_dedup, order_minhash, rule_quality, url_templates
 
     modules = {
         "op1_chat_format": chat_format,
+        "op2_line_dedup": line_dedup,
         "op3_harmonic_packing": harmonic_packing,
         "op4_jump_sharding": jump_sharding,
         "op5_decontaminate": decontaminate,
         "op6_block_topk": block_topk,
+        "op7_order_minhash": order_minhash,
         "op8_url_templates": url_templates,
         "op9_rule_quality": rule_quality,
         "op10_license_digest": license_digest,

@@ -1,0 +1,63 @@
+"""Candidate pairs from buckets, and connected components; neither gathers a bucket or a component."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from loomwire.llm._common import stored
+
+#: Buckets of at most so many texts give all their pairs, larger ones a star around their leader.
+SMALL = 32
+
+
+def _leaders(rows: DataFrame) -> DataFrame:
+    """key, size and leader of every bucket of two or more; rows has key and t. The leader is drawn per bucket."""
+    by = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct(F.xxhash64("t", "key").alias("h"), F.col("t"))).alias("_l"))
+    return by.where(F.col("size") > 1).select("key", "size", F.col("_l.t").alias("leader"))
+
+
+def _both(a: str, b: str) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def all_pairs(rows: DataFrame) -> DataFrame:
+    """The pairs inside buckets; the caller bounds their sizes or knows them to be few. rows has key and t."""
+    other = rows.select("key", F.col("t").alias("u"))
+    return rows.join(other, "key").where(F.col("t") < F.col("u")).select(F.col("t").alias("a"), F.col("u").alias("b"))
+
+
+def split(rows: DataFrame, small: int = SMALL) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pairs of the small buckets; star edges (key, t, leader) of the large ones; and the large buckets' rows."""
+    sized = stored(rows.join(_leaders(rows), "key"))
+    few = sized.where(F.col("size") <= small).groupBy("key").agg(F.array_sort(F.collect_set("t")).alias("ts"))
+    first = few.select("ts", F.posexplode("ts").alias("i", "a")).select("a", F.explode(F.slice("ts", F.col("i") + 2, F.size("ts"))).alias("b"))
+    large = sized.where(F.col("size") > small)
+    return first, large.where(F.col("t") != F.col("leader")).select("key", "t", "leader"), large.select("key", "t")
+
+
+def star_edges(star: DataFrame) -> DataFrame:
+    return star.select(*_both("t", "leader"))
+
+
+def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+    """node and root (its component's least node) of all nodes with an edge, by alternating large and small stars.
+
+    Each round is two shuffles of the edges and is written once; hubs are reduced by partial aggregation.
+    """
+    edges = stored(edges.select(*_both("a", "b")).where(F.col("a") != F.col("b")).distinct())
+    seen = None
+    for _ in range(rounds):
+        both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
+        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+        large = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).where(F.col("a") != F.col("b")).distinct()
+        least = large.groupBy("b").agg(F.min("a").alias("m"))
+        small = large.join(least, "b").select(F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("b").alias("b")), F.struct(F.col("m").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*")
+        edges = stored(small.where(F.col("a") != F.col("b")).distinct())
+        now = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
+        if seen == tuple(now):
+            break
+        seen = tuple(now)
+    else:
+        raise RuntimeError("components did not settle")
+    return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
