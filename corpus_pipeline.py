@@ -8,32 +8,52 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loomwire.llm import decontaminate, harmonic_packing, line_dedup, order_minhash, rule_quality
 from loomwire.llm._common import read, stored
 
 
+def _slim(docs: DataFrame) -> DataFrame:
+    """doc_id and text, and all else in one column, so that no name of a further column meets an operator's own."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", *([F.struct(*rest).alias("_rest")] if rest else []))
+
+
+def _full(slim: DataFrame, docs: DataFrame, changed: bool = False) -> DataFrame:
+    """The columns of `docs` again; n_chars follows a changed text."""
+
+    def column(c: str):  # noqa: ANN202
+        if c == "n_chars" and changed:
+            return F.char_length("text").cast("long").alias(c)
+        return F.col(c) if c in ("doc_id", "text") else F.col("_rest").getField(c).alias(c)
+
+    return slim.select(*[column(c) for c in docs.columns])
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 9: documents scored below the threshold go. Learnt from the labelled rows of the stage's own input."""
     labels = read(spark, sf_dir, "labels").select("doc_id", "quality").withColumnRenamed("quality", "label")
     labels = labels.where(~rule_quality.held_out(labels["doc_id"]))
-    scored = rule_quality.score(docs, rule_quality.learn(docs, labels))
-    return scored.where(scored["score"] >= rule_quality.THRESHOLD).select(*docs.columns)
+    slim = _slim(docs)
+    scored = rule_quality.score(slim, rule_quality.learn(slim, labels))
+    return _full(scored.where(scored["score"] >= rule_quality.THRESHOLD), docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 2: a line goes where an earlier document or line has it, but for a few edits."""
-    return line_dedup.remove_repeats(docs)
+    return _full(line_dedup.remove_repeats(_slim(docs)), docs, changed=True)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: one document of each class of near duplicates stays."""
-    return order_minhash.keep_first(docs)
+    return _full(order_minhash.keep_first(_slim(docs)), docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 5: passages of benchmark items are cut out; documents made of them go."""
-    return decontaminate.remove(decontaminate.find(docs, read(spark, sf_dir, "benchmark"))).select(*docs.columns)
+    found = decontaminate.find(_slim(docs), read(spark, sf_dir, "benchmark"))
+    return _full(decontaminate.remove(found), docs, changed=True)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

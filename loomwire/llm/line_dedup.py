@@ -166,8 +166,6 @@ def remove_repeats(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> D
     kept = F.filter(F.split(F.col("text"), "\n"), lambda x, i: ~F.array_contains("_gone", F.struct(i.alias("line_no"), F.md5(F.trim(x)).alias("m"))))
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     out = joined.withColumn("text", text).where(F.col("_gone").isNull() | (F.trim(F.replace("text", F.lit("\n"), F.lit(""))) != ""))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
     return out.select(*docs.columns)
 
 
