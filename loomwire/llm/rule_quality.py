@@ -8,13 +8,14 @@ Learning uses at most `SAMPLE` labelled documents, picked by the hash of their i
 Inputs of a score are the text's statistics alone.
 
 Defined results: null texts count as empty and are scored; repeated rows are scored each; a document labelled several
-times counts once, with its lowest label; with no labels, or one class only, the score is the smoothed share of label
-1; an empty table gives no rows; other columns are kept by `score` and ignored by the query.
+times counts once, with its lowest label; with no labels, one class only or no rule, the score is the smoothed share of
+label 1; an empty table gives no rows; other columns are kept by `score` and ignored by the query.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import log
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -106,13 +107,14 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ensemble:
     try:
         seen = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
         good, bad = seen.get(1.0, 0), seen.get(0.0, 0)
+        share = Ensemble(log((good + 1) / (bad + 1)), ())
         if not good or not bad:
-            from math import log
-
-            return Ensemble(log((good + 1) / (bad + 1)), ())
+            return share
         stats = rows.select("label", "_f", array_to_vector(F.array(*[F.col(f"_f.{k}") for k in NAMES])).alias("x"))
         forest = RandomForestClassifier(featuresCol="x", labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=SEED, featureSubsetStrategy="onethird", minInstancesPerNode=3).fit(stats)
         rules = list(dict.fromkeys(r for tree in forest.trees for r in paths(tree._call_java("rootNode"))))
+        if not rules:
+            return share
         hit = rows.select("label", array_to_vector(F.array(*[holds(r).cast("double") for r in rules])).alias("x"))
         lasso = LogisticRegression(featuresCol="x", labelCol="label", elasticNetParam=1.0, regParam=PENALTY, maxIter=60).fit(hit)
         return Ensemble(float(lasso.intercept), tuple((r, float(w)) for r, w in zip(rules, lasso.coefficients.toArray(), strict=True) if abs(w) > 1e-6))
