@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomwire.functions import names
+from loomwire.operators.graph import components
 from loomwire.params import DEFAULTS, Params
 
 
@@ -40,3 +42,20 @@ def beat_matches(shortlist: DataFrame, events: DataFrame, seen: DataFrame, param
     all_of = Window.partitionBy("beat")
     rows = rows.withColumn("place", F.row_number().over(w)).withColumn("capped", F.count(F.lit(1)).over(all_of) > params.beat_cap)
     return rows.where(F.col("place") <= params.beat_cap)
+
+
+def mention_groups(mentions: DataFrame) -> DataFrame:
+    """event_id, raw, group (its first spelling), members, name and risky: spellings that share a head or a strong alias.
+
+    A spelling joins the first holder of each of its keys unless their qualifiers differ; what hangs together within an
+    event is one group.
+    """
+    one = mentions.select("event_id", "raw").distinct().withColumn("p", names.parsed(F.col("raw")))
+    keyed = one.select("event_id", "raw", F.col("p.qualifiers").alias("q"), F.explode(F.array_distinct(F.concat(F.array("p.head"), "p.strong"))).alias("key"))
+    first = keyed.groupBy("event_id", "key").agg(F.min(F.struct("raw", "q")).alias("f"))
+    node = lambda raw: F.concat_ws("\x1f", F.col("event_id").cast("string"), raw)
+    edges = keyed.join(first, ["event_id", "key"]).where((F.col("raw") != F.col("f.raw")) & (F.col("q") == F.col("f.q"))).select(node(F.col("f.raw")).alias("a"), node(F.col("raw")).alias("b"))
+    found = components(edges)
+    rows = one.withColumn("node", node(F.col("raw"))).join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    by = rows.groupBy("event_id", "root").agg(F.array_sort(F.collect_set("raw")).alias("members"), F.collect_set("p.head").alias("heads"))
+    return by.select("event_id", F.get("members", F.lit(0)).alias("group"), "members", names.display_name(F.col("members")).alias("name"), names.risky(F.col("heads")).alias("risky"))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomwire.operators.graph import components
+
 BLOCK = 4096
 
 
@@ -81,3 +83,20 @@ def greedy_matches(pairs: DataFrame, floor: float) -> DataFrame:
         taken = now if taken is None else taken.unionByName(now)
         left = left.join(now.select("new_id"), "new_id", "left_anti").join(now.select("old_id"), "old_id", "left_anti").checkpoint()
     return taken if taken is not None else left.select("new_id", "old_id", "similarity")
+
+
+def density_clusters(rows: DataFrame, near: DataFrame, least: int, weight: float, reach: float) -> DataFrame:
+    """event_id and root of the events in dense groups of at least `least`, over the graph of nearest neighbours.
+
+    rows has event_id and created_at, near has query_id, id and similarity. A distance is 1 - cosine plus `weight` a day;
+    an event's core distance is that of its least - 1st neighbour; two events are linked if both core distances and
+    their own are within `reach`; clusters are connected components, the rest is noise.
+    """
+    day = rows.select("event_id", (F.unix_micros("created_at") / 86_400_000_000).alias("day"))
+    d = near.join(day.withColumnsRenamed({"event_id": "query_id", "day": "x"}), "query_id").join(day.withColumnsRenamed({"event_id": "id", "day": "y"}), "id")
+    d = d.select("query_id", "id", (1 - F.col("similarity") + weight * F.abs(F.col("x") - F.col("y"))).alias("d"))
+    core = d.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("d", "id"))).where(F.col("r") == least - 1).select("query_id", F.col("d").alias("core"))
+    linked = d.join(core, "query_id").join(core.select(F.col("query_id").alias("id"), F.col("core").alias("other")), "id").where(F.greatest("d", "core", "other") <= reach)
+    found = components(linked.select(F.col("query_id").alias("a"), F.col("id").alias("b")))
+    size = found.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    return found.join(size, "root").select(F.col("node").alias("event_id"), "root", "n")

@@ -257,6 +257,14 @@ def novelty(spark: SparkSession, d: str) -> DataFrame:
     return rounded(vectors.novelty(best), ["novelty"])
 
 
+@query()
+def density_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Dense groups of event vectors, near in meaning and time."""
+    v = M.vectors(spark, d)
+    near = vectors.nearest(v.select((-1 - F.col("event_id")).alias("query_id"), "v"), v.select(F.col("event_id").alias("id"), "v"), 12).withColumn("query_id", -1 - F.col("query_id")).where("query_id <> id")
+    return vectors.density_clusters(v.select("event_id", "created_at"), near, P.min_cluster, P.temporal_weight, 1.0)
+
+
 @query()
 def centroid_match_greedy(spark: SparkSession, d: str) -> DataFrame:
     """New centroids (of even ids) matched one to one with old ones (of odd ids)."""
@@ -505,6 +513,28 @@ def entity_absorb(spark: SparkSession, d: str) -> DataFrame:
     return merge.absorb(e, to).drop("confidence").withColumn("aliases", F.array_join("aliases", ","))
 
 
+_RAW = "CASE p_partkey % 4 WHEN 0 THEN 'Dr. ' || p_name WHEN 1 THEN p_name || ' (' || p_brand || ')' WHEN 2 THEN p_name || ', Minister of ' || p_type ELSE upper(p_name) END"
+
+
+def _raw(spark: SparkSession, d: str) -> DataFrame:
+    """Spellings of part names: with an honorific, a bracket, a role clause, or in capitals."""
+    return table(spark, d, "part").select("p_partkey", "p_size", F.expr(_RAW).alias("raw"))
+
+
+@query("SELECT p_partkey, lower(regexp_replace(p_name, '[\\s\"''`·,;:]', '', 'g')) AS head FROM part")
+def entity_parse(spark: SparkSession, d: str) -> DataFrame:
+    from loomwire.functions import names
+
+    return _raw(spark, d).select("p_partkey", names.parsed(F.col("raw"))["head"].alias("head"))
+
+
+@query()
+def entity_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Spellings within a size class (as the event) grouped into entities."""
+    out = entities.mention_groups(_raw(spark, d).select(F.col("p_size").alias("event_id"), "raw"))
+    return out.select("event_id", "group", F.size("members").alias("n_members"), "name", "risky")
+
+
 # Beats and dispatch
 
 _BEATS = "bt AS (SELECT row_number() OVER (ORDER BY s) - 1 AS i, s AS beat FROM (SELECT DISTINCT c_mktsegment AS s FROM customer)), "
