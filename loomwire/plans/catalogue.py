@@ -12,7 +12,7 @@ from loomwire import model as M
 from loomwire.functions import text as X
 from loomwire.functions import triage
 from loomwire.model import sql
-from loomwire.operators import ahp, dedup, entities, merge, trends, vectors, views, weak
+from loomwire.operators import ahp, dedup, entities, merge, reason, trends, vectors, views, weak
 from loomwire.params import DEFAULTS, SCORED
 from loomwire.session import table
 from loomwire.sources.html import with_main_text
@@ -696,6 +696,70 @@ def due_dispatches(spark: SparkSession, d: str) -> DataFrame:
     return rows.orderBy("at", "id").limit(20).select("id")
 
 
+# Signals and decisions
+
+_SIGNAL = """CASE event_id % 5 WHEN 0 THEN 'junk' WHEN 1 THEN '{"signal_type":"other","ref_id":"' || md5(event_id::VARCHAR) || '"}' ELSE '{"signal_type":"weak_signal","ref_id":"' || md5(event_id::VARCHAR) || '","cluster_id":"c' || user_id || '","combined_score":' || (event_id % 7) || '}' END"""
+
+
+@query("SELECT event_id, 'weak_signal' AS signal_type, md5(event_id::VARCHAR) AS ref_id, NULL::VARCHAR AS cluster_id, (event_id % 7)::DOUBLE AS combined_score FROM events WHERE event_id % 5 > 1")
+def signal_parse(spark: SparkSession, d: str) -> DataFrame:
+    """Messages made of events: some are junk, some of an unknown type, all with a cluster id that is none."""
+    e = table(spark, d, "events").withColumn("value", F.expr(_SIGNAL.replace("::VARCHAR", "::STRING")))
+    return reason.parsed_signals(e.select("event_id", "value")).select("event_id", "signal_type", "ref_id", "cluster_id", "combined_score")
+
+
+@query("SELECT event_id, CASE WHEN m BETWEEN 0 AND n - 1 THEN m END AS choice, certain, CASE WHEN certain THEN 'auto' ELSE 'needs_review' END AS review_status FROM (SELECT *, n = 0 OR (conf IS NOT NULL AND coalesce((mirror = 0) = (m BETWEEN 0 AND n - 1), false) AND NOT hedged AND conf >= 0.75) AS certain FROM (SELECT event_id, (event_id % 4)::INT AS n, (event_id % 6)::INT AS m, CASE WHEN event_id % 9 > 0 THEN (event_id % 2)::INT END AS mirror, CASE WHEN event_id % 4 > 0 AND event_id % 11 > 0 THEN (event_id % 10) / 10.0 END AS conf, event_id % 4 > 0 AND event_id % 8 = 3 AS hedged FROM events))")
+def link_decisions(spark: SparkSession, d: str) -> DataFrame:
+    """Answers derived from event ids: candidates offered, the choice, the mirrored choice, the confidence."""
+    k, i = F.col("event_id"), lambda c: c.cast("int")
+    asked = table(spark, d, "events").select(
+        "event_id", i(k % 4).alias("n"), i(k % 6).alias("match"), F.when(k % 9 > 0, i(k % 2)).alias("mirror"), F.when((k % 4 > 0) & (k % 11 > 0), (k % 10) / 10.0).alias("confidence"), ((k % 4 > 0) & (k % 8 == 3)).alias("hedged")
+    )
+    return reason.review(reason.link_decisions(asked)).select("event_id", "choice", "certain", "review_status")
+
+
+@query(sql("asof ev", f"SELECT n.cluster_id, stories, trend FROM (SELECT cluster_id, string_agg(event_id::VARCHAR, ',' ORDER BY r) AS stories FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY created_at DESC, event_id DESC) AS r FROM ev WHERE cluster_id IS NOT NULL) WHERE r <= 50 GROUP BY cluster_id HAVING count(*) >= 2) n LEFT JOIN (SELECT cluster_id, {_round('avg(ts)', 5)} AS trend FROM sc WHERE i > {N} - 10 GROUP BY cluster_id) USING (cluster_id)", _TREND))
+def scenario_context(spark: SparkSession, d: str) -> DataFrame:
+    at, ev = M.as_of(spark, d), M.events(spark, d)
+    out = reason.scenario_context(ev, trends.scores(ev, at))
+    mean = F.aggregate("trend", F.lit(0.0), lambda a, x: a + x) / F.size("trend")
+    return rounded(out.select("cluster_id", _joined("stories").alias("stories"), mean.alias("trend")), ["trend"], 5)
+
+
+@query("SELECT s_suppkey AS id, CASE WHEN s_suppkey % 4 = 0 THEN lower(s_name) ELSE s_name END AS name, CASE WHEN s_suppkey % 6 = 0 THEN 0.0 ELSE s_acctbal END AS weight FROM supplier")
+def source_patch(spark: SparkSession, d: str) -> DataFrame:
+    """Every other source is patched: some names, some weights, the rest of a patch null."""
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("weight"))
+    patch = s.where("id % 2 = 0").select("id", F.when(F.col("id") % 4 == 0, F.lower("name")).alias("name"), F.when(F.col("id") % 6 == 0, F.lit(0.0)).alias("weight"))
+    return reason.patched(s, patch, "id")
+
+
+@query("SELECT CASE WHEN m > 0 AND m < n AND f THEN -l_partkey ELSE l_partkey END AS entity_id, l_returnflag || '-' || l_linestatus AS surface, l_orderkey AS event_id FROM (SELECT *, l_returnflag = 'R' AS f, count(*) FILTER (WHERE l_returnflag = 'R') OVER (PARTITION BY l_partkey) AS m, count(*) OVER (PARTITION BY l_partkey) AS n FROM lineitem)")
+def mention_split(spark: SparkSession, d: str) -> DataFrame:
+    """Returned mentions leave their entity, unless they are all of it."""
+    m = M.mentions(spark, d)
+    moved = m.where("surface LIKE 'R-%'").select("entity_id", "surface", (-F.col("entity_id")).alias("new_id")).distinct()
+    return reason.split_mentions(m, moved)
+
+
+@query(sql("art", f"SELECT doc_id FROM art WHERE doc_id % 5 = 0 AND fetched_at < (SELECT max(fetched_at) FROM art) - INTERVAL 1 HOUR"))
+def stuck_articles(spark: SparkSession, d: str) -> DataFrame:
+    """Articles still queued (every fifth) an hour before the newest."""
+    a = M.articles(spark, d)
+    newest = a.agg(F.max("fetched_at")).first()[0]
+    return a.where((F.col("doc_id") % 5 == 0) & (F.col("fetched_at") < F.lit(newest) - F.expr("INTERVAL 1 HOUR"))).select("doc_id")
+
+
+@query()
+def bodies_filled(spark: SparkSession, d: str) -> DataFrame:
+    """Articles with short bodies take their page's main text where that is longer."""
+    from loomwire.sources.feeds import filled
+
+    pages = with_main_text(table(spark, d, "pages"))
+    short = pages.select("page_id", "url", F.left("body", F.lit(100)).alias("body"))
+    return filled(short, pages.groupBy("url").agg(F.max("body").alias("body"))).select("page_id", F.char_length("body").alias("chars"))
+
+
 # Sources, coercion, streams
 
 
