@@ -31,6 +31,22 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Keys of at most so many rows (8 bytes each) are broadcast; more of them are joined by shuffle.
+BROADCAST_KEYS = 1_000_000
+
+
+def only(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows whose `key` is among wanted's (one column of that name, stored).
+
+    Few keys go out as hashes, so the rows stay where they are; a hash that meets by chance lets a row through, and
+    the caller's join drops it. The count is checked first, and beyond the bound the rows are shuffled.
+    """
+    if wanted.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+        hashed = wanted.select(F.xxhash64(key).alias("_h")).distinct()
+        return rows.join(F.broadcast(hashed), F.xxhash64(rows[key]) == hashed["_h"], "left_semi")
+    return rows.join(wanted, key, "left_semi")
+
+
 def running_before(df: DataFrame, keys: list[str], block: str, order: list[Column], sums: dict[str, Column]) -> DataFrame:
     """For each row the sums over all earlier rows of its key, without one task per key.
 

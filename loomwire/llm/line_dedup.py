@@ -24,11 +24,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwire.llm._common import read, stored
+from loomwire.llm._common import only, read, stored
 from loomwire.llm._pairs import components
 from loomwire.llm.banded import within
 
 EDITS, LEAST = 2, 40
+#: A document with a smaller share of its characters left after removal goes.
+LEFT = 0.2
 #: Distinct lines whose index rows a task remembers; beyond it a line may be indexed again, to no effect.
 REMEMBERED = 500_000
 _BINS = bytes(b % 8 for b in range(256))
@@ -88,7 +90,7 @@ def indexed(lines: DataFrame, edits: int, least: int) -> DataFrame:
                 if (plan := plans.get(n)) is None:
                     own = [(False, n << 8 | i, p, p + k) for i, (p, k) in enumerate(segments(n, edits))]
                     plan = plans[n] = own + [(True, length << 8 | i, p, p + k) for length, i, p, k in probes(n, edits, least)]
-                binned = raw.translate(_BINS)
+                binned = (raw if len(raw) == n else text.encode("utf-32-le", "replace")[::4]).translate(_BINS)
                 bag = int.from_bytes(bytes(min(255, binned.count(b)) for b in range(8)), "little", signed=True)
                 if len(raw) == n:
                     keys += [digest(raw[p:q], seed) for _, seed, p, q in plan]
@@ -104,24 +106,19 @@ def indexed(lines: DataFrame, edits: int, least: int) -> DataFrame:
 
 
 def _apart(x: Column, y: Column) -> Column:
-    """Sum of the differences of eight packed byte counts."""
+    """Sum of the differences of eight packed character counts: at most 2 for each edit."""
     out = F.lit(0).cast("long")
     for i in range(8):
         out = out + F.abs(F.shiftrightunsigned(x, 8 * i).bitwiseAND(F.lit(255)) - F.shiftrightunsigned(y, 8 * i).bitwiseAND(F.lit(255)))
     return out
 
 
-def _slack(edits: int) -> int:
-    """An edit takes away at most four bytes and adds as many, so counts of lines in reach differ by no more."""
-    return 8 * edits
-
-
 def candidates(lines: DataFrame, edits: int, least: int) -> DataFrame:
     """Pairs a < b of line hashes that share a segment; lines has t and line."""
     rows = indexed(lines.where(F.char_length("line") >= least), edits, least)
     index = rows.where(~F.col("probe")).select("key", F.col("t").alias("b"), F.col("bag").alias("_y"))
     probe = rows.where("probe").select("key", F.col("t").alias("a"), F.col("bag").alias("_x"))
-    both = probe.join(index, "key").where((F.col("a") != F.col("b")) & (_apart(F.col("_x"), F.col("_y")) <= _slack(edits)))
+    both = probe.join(index, "key").where((F.col("a") != F.col("b")) & (_apart(F.col("_x"), F.col("_y")) <= 2 * edits))
     return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -135,7 +132,7 @@ def links(lines: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame
 
     pairs = stored(candidates(lines.select("t", "line"), edits, least))
     used = pairs.select(F.col("a").alias("t")).unionByName(pairs.select(F.col("b").alias("t"))).distinct()
-    texts = stored(lines.select("t", "m", "line").join(used, "t", "left_semi").dropDuplicates(["t", "m"]))
+    texts = stored(only(lines.select("t", "m", "line"), "t", stored(used)).dropDuplicates(["t", "m"]))
     own = texts.select(F.col("t").alias("a"), F.col("m").alias("_m"), F.col("line").alias("_x"))
     other = texts.select(F.col("t").alias("b"), F.col("m").alias("_n"), F.col("line").alias("_y"))
     both = pairs.join(own, "a").join(other, "b").select(F.least("_m", "_n").alias("a"), F.greatest("_m", "_n").alias("b"), "_x", "_y")
@@ -157,16 +154,19 @@ def classes(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFram
     return rows.join(by, "root").select("doc_id", "line_no", "m", "class_doc", "class_line", "class_rows", "n_links", "long")
 
 
-def remove_repeats(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
-    """`docs` without the long lines whose class has an earlier line; documents without any line left go."""
+def remove_repeats(docs: DataFrame, edits: int = EDITS, least: int = LEAST, left: float = LEFT) -> DataFrame:
+    """`docs` without the long lines whose class has an earlier line.
+
+    A document that keeps less than `left` of its characters by that was a copy and goes; all others stay.
+    """
     found = classes(docs, edits, least)
     repeat = F.col("long") & ~(F.col("doc_id").eqNullSafe(F.col("class_doc")) & (F.col("line_no") == F.col("class_line")))
     gone = found.where(repeat).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.struct("line_no", "m")).alias("_gone"))
     joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
     kept = F.filter(F.split(F.col("text"), "\n"), lambda x, i: ~F.array_contains("_gone", F.struct(i.alias("line_no"), F.md5(F.trim(x)).alias("m"))))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    out = joined.withColumn("text", text).where(F.col("_gone").isNull() | (F.trim(F.replace("text", F.lit("\n"), F.lit(""))) != ""))
-    return out.select(*docs.columns)
+    out = joined.withColumn("_kept", F.when(F.col("_gone").isNotNull(), F.array_join(kept, "\n")))
+    out = out.where(F.col("_kept").isNull() | (F.char_length(F.trim(F.replace("_kept", F.lit("\n"), F.lit("")))) >= left * F.char_length("text")))
+    return out.withColumn("text", F.coalesce("_kept", "text")).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
