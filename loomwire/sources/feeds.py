@@ -21,7 +21,8 @@ def rss(spark: SparkSession, path: str) -> DataFrame:
     items = spark.read.format("xml").option("rowTag", "item").schema(RSS).load(path)
     body = F.coalesce(*[F.when(F.trim(c) != "", F.col(c)) for c in ("content", "summary", "description")])
     date = F.coalesce("pubDate", "updated")
-    at = F.coalesce(F.try_to_timestamp(date, F.lit("EEE, d MMM yyyy HH:mm:ss Z")), event_time(date))
+    plain_date = F.regexp_replace(F.trim(date), r"^[A-Za-z]+,\s*", "")
+    at = F.coalesce(*[F.try_to_timestamp(plain_date, F.lit(f"d MMM yyyy HH:mm:ss {zone}")) for zone in ("Z", "z")], event_time(date))
     return items.where((F.trim("title") != "") & (F.trim("link") != "")).select(plain(F.col("title")).alias("title"), F.trim("link").alias("url"), plain(body).alias("body"), at.alias("published"))
 
 
