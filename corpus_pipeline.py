@@ -36,8 +36,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = read(spark, sf_dir, "labels").select("doc_id", "quality").withColumnRenamed("quality", "label")
     labels = labels.where(~rule_quality.held_out(labels["doc_id"]))
     slim = _slim(docs)
-    scored = rule_quality.score(slim, rule_quality.learn(slim, labels))
-    return _full(scored.where(scored["score"] >= rule_quality.THRESHOLD), docs)
+    return _full(rule_quality.accepted(slim, rule_quality.learn(slim, labels)), docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -127,6 +127,16 @@ def score(docs: DataFrame, ensemble: Ensemble) -> DataFrame:
     return with_statistics(docs).withColumn("score", ensemble.column()).drop("_f")
 
 
+def accepted(docs: DataFrame, ensemble: Ensemble, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of `docs` that score at least `threshold`.
+
+    The observed counts stand between the score and the filter: a filter moved below the projection would work out every
+    statistic anew for each rule that names it.
+    """
+    low = F.count_if(F.col("score") < threshold).alias("rejected")
+    return score(docs, ensemble).observe("quality", F.count(F.lit(1)).alias("scored"), low).where(F.col("score") >= threshold)
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
