@@ -148,9 +148,11 @@ def classes(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFram
     named = ends.groupBy("node").agg(F.count(F.lit(1)).alias("links")).join(roots, "node")
     slim = lines.select("doc_id", "line_no", "m", (F.char_length("line") >= least).alias("long"))
     rows = slim.join(named, slim.m == named.node, "left").select("doc_id", "line_no", "m", F.coalesce("root", "m").alias("root"), F.coalesce("links", F.lit(0)).alias("n_links"), "long")
+    # both sides of the last join are read from files: adaptive execution can then split a class that holds most lines
+    rows = stored(rows)
     first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("line_no")))
     by = rows.groupBy("root").agg(first.alias("_f"), F.count(F.lit(1)).alias("class_rows"))
-    by = by.select("root", F.col("_f.doc_id").alias("class_doc"), F.col("_f.line_no").alias("class_line"), "class_rows")
+    by = stored(by.select("root", F.col("_f.doc_id").alias("class_doc"), F.col("_f.line_no").alias("class_line"), "class_rows"))
     return rows.join(by, "root").select("doc_id", "line_no", "m", "class_doc", "class_line", "class_rows", "n_links", "long")
 
 
