@@ -5,10 +5,13 @@ least hash under its own seed and keeps them in text order, so it is sensitive t
 set (Marcais et al., 2019). Texts that share one of the sketches are candidates, verified by banded alignment of their
 word sequences: near duplicates have an edit similarity 1 - distance / longer length of at least 0.8.
 
+Lengths and parity bits of the words, both bounds of the distance, rule pairs out before any text is fetched.
+
 Equal texts are one node, so a group of copies costs no pair. Small buckets give all pairs. A large bucket gives a
-star around a leader drawn for it; its texts that stay apart from the leader are bucketed anew by pairs of sketches,
-and what still shares a large bucket then is compared with that bucket's leader and, still apart, among itself. No
-bucket is gathered. Classes are connected components.
+star around a leader drawn for it, then further stars around texts outside its largest class, which meet every text of
+another class, joined ones too; once few pairs are left, or stars no longer help, each text outside the largest class
+that hasn't led meets all texts of other classes at once. So of any two texts of a bucket that end in different classes,
+one has met the other. Classes are connected components.
 
 Defined results: a null text is empty; texts of fewer than five words are one k-mer, texts without words match only
 their equals; null doc_ids are grouped and never name a class unless all ids are null; repeated rows are copies; an
@@ -17,19 +20,24 @@ empty table gives no rows; other columns are ignored (`query`) or kept (`keep_fi
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwire.llm._common import only, read, stored
-from loomwire.llm._pairs import all_pairs, components, split, star_edges
+from loomwire.llm._pairs import components, split, star_edges
 from loomwire.llm.banded import within
 
 WORDS, SKETCHES, DRAWN, SIMILARITY = 5, 10, 2, 0.8
+#: Parity bits of a text's words.
+BITS = 512
+#: Further stars are drawn while the pairs left are more than so many times the rows.
+PAIRS_A_ROW = 4
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
 
 
@@ -55,33 +63,51 @@ def sketches(words: list[bytes], k: int = WORDS, count: int = SKETCHES, drawn: i
         starts = np.flatnonzero(new)
         label = np.arange(len(ranked)) - np.repeat(starts, np.diff(np.append(starts, len(ranked))))
         grams[order] += _mix(label.astype(np.uint64)) * (label > 0)
-    out = []
-    n = min(drawn, len(grams))
-    for j in range(count):
-        h = _mix(grams ^ _mix(np.uint64(j + 1) * _MULTIPLIERS[:1]))
-        at = np.sort(np.argpartition(h, n - 1)[:n]) if n < len(h) else np.arange(n)
-        key = np.uint64(j)
-        for x in h[at]:
-            key = _mix(np.array([key], np.uint64) * _MULTIPLIERS[1] + x)[0]
-        out.append(int(key.astype(np.int64)))
-    return out
+    seeds = _mix(np.arange(1, count + 1, dtype=np.uint64) * _MULTIPLIERS[0])
+    n, rows, key = min(drawn, len(grams)), np.arange(count), np.arange(count, dtype=np.uint64)
+    at = np.empty((count, n), np.int64)
+    step = max(1, 200_000 // len(grams))
+    for low in range(0, count, step):  # a long text takes few seeds at once
+        h = _mix(grams ^ seeds[low : low + step, None])
+        for i in range(n):
+            at[low : low + step, i] = least = h.argmin(axis=1)
+            h[rows[: len(h)], least] = np.uint64(2**64 - 1)
+    at.sort(axis=1)
+    for i in range(n):
+        key = _mix(key * _MULTIPLIERS[1] + grams[at[:, i]])
+    return key.astype(np.int64).tolist()
+
+
+def parity(words: list[bytes]) -> list[int]:
+    """Whether the words of each hash value are odd in number, as 64-bit numbers; an edit changes two bits at most."""
+    counts = np.bincount(np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % BITS, minlength=BITS)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64).tolist()
+
+
+def _may_be_similar(n: str, m: str, p: str, q: str, similarity: float) -> Column:
+    """False only where the lengths n and m or the parity bits p and q rule it out."""
+    apart = sum((F.bit_count(F.col(p)[i].bitwiseXOR(F.col(q)[i])) for i in range(BITS // 64)), F.lit(0))
+    longer = F.greatest(n, m)
+    edits = F.floor((1 - similarity) * longer + F.lit(1e-9))
+    return (longer - F.least(n, m) <= edits) & (apart <= 2 * edits)
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """doc_id, t (the text's digest), n (words) and s (sketches) of every row; a pass without a shuffle."""
+    """doc_id, t (the text's digest), n (words), s (bucket keys) and p (parity) of every row; a pass without a shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for batch in batches:
-                n, s = [], []
+                n, s, odd = [], [], []
                 for text in batch.column("text"):
                     words = (text.as_py() or "").encode("utf-8", "replace").split()
                     n.append(len(words))
                     s.append(sketches(words))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("t"), pa.array(n, pa.int32()), pa.array(s, pa.list_(pa.int64()))], ["doc_id", "t", "n", "s"])
+                    odd.append(parity(words))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("t"), pa.array(n, pa.int32()), pa.array(s, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))], ["doc_id", "t", "n", "s", "p"])
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long"), F.md5(text).alias("t"), text.alias("text")).mapInArrow(run, "doc_id long, t string, n int, s array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.md5(text).alias("t"), text.alias("text")).mapInArrow(run, "doc_id long, t string, n int, s array<long>, p array<long>")
 
 
 def similar(edges: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -105,29 +131,25 @@ def similar(edges: DataFrame, texts: DataFrame, similarity: float = SIMILARITY)
 
 
 def roots(items: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """node and root of every text that has a near duplicate; items has t, n and s, one row per text, docs t and text.
+    """node and root of every text that has a near duplicate; items has t, n, s and p, one row per text, docs t and text.
 
     Only links between texts that aren't connected yet are looked for, so a group of copies adds a star, not its pairs.
     """
-    length = items.select("t", "n")
-    # level 0: each sketch a bucket; the texts that share any are fetched once, for all levels
-    rows = items.select("t", F.posexplode("s").alias("j", "h")).select("t", F.xxhash64("j", "h").alias("key"))
-    pairs, star, large = split(rows)
-    asked = stored(pairs.unionByName(star_edges(star)).distinct())
-    used = asked.select(F.col("a").alias("t")).unionByName(asked.select(F.col("b").alias("t"))).distinct()
+    facts = items.select("t", "n", "p")
+    rows = items.select("t", F.explode("s").alias("key"))
+    shared = stored(rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"))
+    pairs, star, large = split(stored(only(rows, "key", shared)))
+
+    def possible(edges: DataFrame) -> DataFrame:
+        """The edges (a, b) whose lengths and parity bits don't rule them out."""
+        own, other = facts.toDF("a", "n", "p"), facts.toDF("b", "m", "q")
+        return edges.join(own, "a").join(other, "b").where(_may_be_similar("n", "m", "p", "q", similarity)).select("a", "b")
+
+    asked = stored(possible(pairs.unionByName(star_edges(star)).distinct()))
+    # the texts that may be compared are fetched once
+    used = asked.select(F.col("a").alias("t")).unionByName(asked.select(F.col("b").alias("t"))).unionByName(large.select("t")).distinct()
     texts = stored(only(docs, "t", stored(used)).dropDuplicates(["t"]))
 
-    def verified(edges: DataFrame) -> DataFrame:
-        """Similar ones among the edges whose lengths alone don't rule them out."""
-        e = edges.join(length.select(F.col("t").alias("a"), F.col("n").alias("na")), "a").join(length.select(F.col("t").alias("b"), F.col("n").alias("nb")), "b")
-        e = e.where(F.least("na", "nb") >= F.lit(similarity) * F.greatest("na", "nb")).select("a", "b")
-        return stored(similar(e, texts, similarity))
-
-    def open_ends(edges: DataFrame, known: DataFrame, x: str, y: str) -> DataFrame:
-        """The edges whose ends have different roots."""
-        k = edges.join(known.select(F.col("node").alias(x), F.col("root").alias("_rx")), x, "left").join(known.select(F.col("node").alias(y), F.col("root").alias("_ry")), y, "left")
-        return k.where(F.coalesce("_rx", x) != F.coalesce("_ry", y)).select(*edges.columns)
-
     def joined(known: DataFrame, edges: DataFrame) -> DataFrame:
         """The mapping after further edges, which meet the roots only."""
         e = edges.join(known.select(F.col("node").alias("a"), F.col("root").alias("_ra")), "a", "left").join(known.select(F.col("node").alias("b"), F.col("root").alias("_rb")), "b", "left")
@@ -135,26 +157,43 @@ def roots(items: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) ->
         moved = known.join(over.select(F.col("node").alias("root"), F.col("root").alias("_to")), "root", "left").select("node", F.coalesce("_to", "root").alias("root"))
         return stored(moved.unionByName(over.join(known, "node", "left_anti")))
 
-    known = stored(components(verified(asked)))
-    # level 1: texts of large buckets that are still apart from a leader look again, by pairs of sketches
-    failed = stored(open_ends(star, known, "t", "leader").select("t").distinct())
-    if failed.isEmpty():
-        return known
-    hot = items.join(large.select("t").distinct(), "t", "left_semi").select("t", F.posexplode("s").alias("j", "h"))
-    two = hot.join(items.select("t", "s"), "t").select("t", "h", "j", F.posexplode("s").alias("i", "g")).where(F.col("j") < F.col("i")).select("t", F.xxhash64("j", "h", "i", "g").alias("key"))
-    pairs, star, _ = split(two)
-    star = stored(star.join(failed, "t", "left_semi"))
-    further = open_ends(pairs.unionByName(star_edges(star)).distinct(), known, "a", "b").join(asked, ["a", "b"], "left_anti")
-    known = joined(known, verified(further))
-    # level 2: what shares two sketches, and is apart from that bucket's leader too, is compared with its like
-    rest = open_ends(star, known, "t", "leader").select("key", "t")
-    return joined(known, verified(open_ends(all_pairs(rest).distinct(), known, "a", "b")))
+    known = stored(components(stored(similar(asked, texts, similarity))))
+    large = stored(large)
+    led = stored(star.select("key", F.col("leader").alias("t")).distinct())
+    before = None
+    while True:
+        # the large buckets that hold more than one class, and each text's part in them
+        now = large.join(known.select(F.col("node").alias("t"), "root"), "t", "left").select("key", "t", F.coalesce("root", "t").alias("root"))
+        by = now.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
+        by = by.groupBy("key").agg(F.max(F.struct("c", "root")).alias("_m"), F.sum("c").alias("size"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+        now = now.join(by.select("key", F.col("_m.root").alias("main"), "size"), "key").join(led.withColumn("led", F.lit(True)), ["key", "t"], "left")
+        now = stored(now.select("key", "t", "root", "size", ((F.col("root") != F.col("main")) & F.col("led").isNull()).alias("open")))
+        count, left = now.agg(F.count(F.lit(1)), F.sum(F.when(F.col("open"), F.col("size")))).first()
+        if not left:
+            return known
+        if left <= PAIRS_A_ROW * count or (before is not None and left > 0.8 * before):
+            break
+        before = left
+        drawn = now.where("open").groupBy("key").agg(F.min(F.struct(F.xxhash64("t", "key").alias("h"), "t", "root")).alias("_l"))
+        drawn = stored(drawn.select("key", F.col("_l.t").alias("leader"), F.col("_l.root").alias("_r")))
+        met = now.join(drawn, "key").where(F.col("root") != F.col("_r")).select("t", "leader")
+        edges = stored(possible(star_edges(met).distinct().join(asked, ["a", "b"], "left_anti")))
+        known = joined(known, stored(similar(edges, texts, similarity)))
+        asked = stored(asked.unionByName(edges))
+        led = stored(led.unionByName(drawn.select("key", F.col("leader").alias("t"))))
+    # what is left meets at once; similar texts are of the same or the next class of length
+    width = -math.log(min(max(similarity, 0.01), 0.999)) * 1.0001
+    now = now.join(facts, "t").withColumn("c", F.floor(F.log("n") / width))
+    one = now.where("open").select("key", F.explode(F.array(F.col("c") - 1, F.col("c"), F.col("c") + 1)).alias("c"), F.col("t").alias("u"), F.col("root").alias("v"), F.col("n").alias("m"), F.col("p").alias("q"))
+    both = stored(now).join(stored(one), ["key", "c"]).where((F.col("root") != F.col("v")) & _may_be_similar("n", "m", "p", "q", similarity))
+    edges = stored(both.select(F.least("t", "u").alias("a"), F.greatest("t", "u").alias("b")).distinct().join(asked, ["a", "b"], "left_anti"))
+    return joined(known, stored(similar(edges, texts, similarity)))
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, t, class_id (least doc_id), class_rows and class_texts of every row of docs (doc_id, text)."""
     rows = stored(sketched(docs))
-    items = stored(rows.groupBy("t").agg(F.first("n").alias("n"), F.first("s").alias("s")))
+    items = stored(rows.groupBy("t").agg(F.first("n").alias("n"), F.first("s").alias("s"), F.first("p").alias("p")))
     texts = docs.select(F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("t"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     found = roots(items, texts, similarity)
     slim = rows.select("doc_id", "t")

@@ -272,6 +272,22 @@ def test_large_buckets_link_all(spark, monkeypatch):
     assert all(found[i] == i for i in range(120, 200))
 
 
+def test_minhash_drift_chain_in_one_large_bucket(spark):
+    """Neighbours of a chain are similar, others are not; all that they share is one bucket, or two."""
+    rng = random.Random(11)
+    words, rows = [f"w{rng.random()}" for _ in range(100)], []
+    for i in range(3 * _pairs.SMALL):
+        at = i % 6 * 15
+        words[at : at + 15] = [f"w{rng.random()}" for _ in range(15)]
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = docs.selectExpr("md5(text) AS t", "text")
+    for shared in ("array(1L)", "array(1L, 2L)"):
+        items = order_minhash.sketched(docs).drop("doc_id").selectExpr("*", f"{shared} AS _s").drop("s").withColumnRenamed("_s", "s")
+        found = order_minhash.roots(items, texts).collect()
+        assert len({r["node"] for r in found}) == len(rows) and len({r["root"] for r in found}) == 1
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(1000 + i, 1001 + i) for i in range(64)]
