@@ -1,11 +1,13 @@
 """Near-duplicate documents by Order MinHash (operator 7).
 
-A document's k-mers are its word five-grams, each labelled with its occurrence number. A sketch draws the few k-mers of
+A document's k-mers are its word three-grams, each labelled with its occurrence number. A sketch draws the few k-mers of
 least hash under its own seed and keeps them in text order, so it is sensitive to edits and moves, not only to the
 set (Marcais et al., 2019). Texts that share one of the sketches are candidates, verified by banded alignment of their
 word sequences: near duplicates have an edit similarity 1 - distance / longer length of at least 0.8.
 
-Lengths and parity bits of the words, both bounds of the distance, rule pairs out before any text is fetched.
+Texts of at most `SHORT` words are also bucketed by the segments of the edit join of operator 2, on words, which miss no
+pair among them. Lengths and parity bits of the words, both bounds of the distance, rule pairs out before any text is
+fetched.
 
 Equal texts are one node, so a group of copies costs no pair. Small buckets give all pairs. A large bucket gives a
 star around a leader drawn for it, then further stars around texts outside its largest class, which meet every text of
@@ -13,7 +15,7 @@ another class, joined ones too; once few pairs are left, or stars no longer help
 that hasn't led meets all texts of other classes at once. So of any two texts of a bucket that end in different classes,
 one has met the other. Classes are connected components.
 
-Defined results: a null text is empty; texts of fewer than five words are one k-mer, texts without words match only
+Defined results: a null text is empty; texts of fewer than three words are one k-mer, texts without words match only
 their equals; null doc_ids are grouped and never name a class unless all ids are null; repeated rows are copies; an
 empty table gives no rows; other columns are ignored (`query`) or kept (`keep_first`).
 """
@@ -23,6 +25,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +35,11 @@ from pyspark.sql import functions as F
 from loomwire.llm._common import only, read, stored
 from loomwire.llm._pairs import components, split, star_edges
 from loomwire.llm.banded import within
+from loomwire.llm.line_dedup import probes, segments
 
-WORDS, SKETCHES, DRAWN, SIMILARITY = 5, 10, 2, 0.8
+WORDS, SKETCHES, DRAWN, SIMILARITY = 3, 40, 2, 0.8
+#: Pairs of texts of at most so many words are found without sketches.
+SHORT = 24
 #: Parity bits of a text's words.
 BITS = 512
 #: Further stars are drawn while the pairs left are more than so many times the rows.
@@ -78,6 +84,28 @@ def sketches(words: list[bytes], k: int = WORDS, count: int = SKETCHES, drawn: i
     return key.astype(np.int64).tolist()
 
 
+@cache
+def _short_plan(n: int, similarity: float) -> list[tuple[int, int, int]]:
+    """(seed, start, end) of the segments that a text of n words has, and of those that it looks up."""
+
+    def edits(longer: int) -> int:
+        return int((1 - similarity) * longer + 1e-9)
+
+    own = {(e, n, i, at, k) for longer in range(n, SHORT + 1) if longer - n <= (e := edits(longer)) for i, (at, k) in enumerate(segments(n, e))}
+    asked = {(edits(n), m, i, at, k) for m, i, at, k in probes(n, edits(n), 1)}
+    return [(e << 32 | m << 16 | i, at, at + k) for e, m, i, at, k in sorted(own | asked)]
+
+
+def short_keys(words: list[bytes], similarity: float = SIMILARITY) -> list[int]:
+    """Keys of which any two texts of at most SHORT words that are similar enough share one; none for longer texts."""
+    from xxhash import xxh3_64_intdigest as digest
+
+    if not 0 < len(words) <= SHORT:
+        return []
+    keys = {digest(b" ".join(words[p:q]), seed) for seed, p, q in _short_plan(len(words), similarity)}
+    return np.array(sorted(keys), np.uint64).view(np.int64).tolist()
+
+
 def parity(words: list[bytes]) -> list[int]:
     """Whether the words of each hash value are odd in number, as 64-bit numbers; an edit changes two bits at most."""
     counts = np.bincount(np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % BITS, minlength=BITS)
@@ -92,7 +120,7 @@ def _may_be_similar(n: str, m: str, p: str, q: str, similarity: float) -> Column
     return (longer - F.least(n, m) <= edits) & (apart <= 2 * edits)
 
 
-def sketched(docs: DataFrame) -> DataFrame:
+def sketched(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, t (the text's digest), n (words), s (bucket keys) and p (parity) of every row; a pass without a shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,7 +130,7 @@ def sketched(docs: DataFrame) -> DataFrame:
                 for text in batch.column("text"):
                     words = (text.as_py() or "").encode("utf-8", "replace").split()
                     n.append(len(words))
-                    s.append(sketches(words))
+                    s.append(sketches(words) + short_keys(words, similarity))
                     odd.append(parity(words))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("t"), pa.array(n, pa.int32()), pa.array(s, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))], ["doc_id", "t", "n", "s", "p"])
 
@@ -192,7 +220,7 @@ def roots(items: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) ->
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, t, class_id (least doc_id), class_rows and class_texts of every row of docs (doc_id, text)."""
-    rows = stored(sketched(docs))
+    rows = stored(sketched(docs, similarity))
     items = stored(rows.groupBy("t").agg(F.first("n").alias("n"), F.first("s").alias("s"), F.first("p").alias("p")))
     texts = docs.select(F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("t"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     found = roots(items, texts, similarity)

@@ -288,6 +288,34 @@ def test_minhash_drift_chain_in_one_large_bucket(spark):
         assert len({r["node"] for r in found}) == len(rows) and len({r["root"] for r in found}) == 1
 
 
+def test_minhash_recall_near_the_threshold(spark):
+    rng = random.Random(12)
+    rows, cells = [], {}
+    for n in (5, 7, 10, 12, 24, 40, 60, 200):
+        for similarity in (0.8, 0.85, 0.9, 0.95):
+            for _ in range(30):
+                words = [f"w{rng.random()}" for _ in range(n)]
+                other = list(words)
+                for i in rng.sample(range(n), int((1 - similarity) * n + 1e-9)):
+                    other[i] = f"w{rng.random()}"
+                if other != words:
+                    cells.setdefault((n, similarity), []).append(len(rows))
+                    rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(other))]
+    found = {r["doc_id"]: r["class_id"] for r in order_minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    recall = {c: sum(found[i] == found[i + 1] for i in ids) / len(ids) for c, ids in cells.items()}
+    print(recall)
+    assert all(r == 1 if n <= order_minhash.SHORT else r >= 0.93 for (n, _), r in recall.items()), recall
+    # inserted and removed words shift the segments
+    for n in range(5, order_minhash.SHORT + 1):
+        words = [f"{i}".encode() for i in range(n)]
+        for m in range(n - int(0.2 * n + 1e-9), n + 1):
+            for _ in range(20):
+                other = [words[i] for i in sorted(rng.sample(range(n), m))]
+                for i in rng.sample(range(m), int(0.2 * n + 1e-9) - (n - m)):
+                    other[i] = b"x"
+                assert set(order_minhash.short_keys(words)) & set(order_minhash.short_keys(other))
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(1000 + i, 1001 + i) for i in range(64)]
