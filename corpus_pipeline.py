@@ -40,8 +40,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 2: a line goes where an earlier document or line has it, but for a few edits."""
-    return _full(line_dedup.remove_repeats(_slim(docs)), docs, changed=True)
+    """Operator 2: a line goes where an earlier document or line has it, but for a few edits; all other lines stay."""
+    return _full(line_dedup.remove_repeats(_slim(docs), left=0), docs, changed=True)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -159,7 +159,8 @@ def classes(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFram
 def remove_repeats(docs: DataFrame, edits: int = EDITS, least: int = LEAST, left: float = LEFT) -> DataFrame:
     """`docs` without the long lines whose class has an earlier line.
 
-    A document that keeps less than `left` of its characters by that was a copy and goes; all others stay.
+    A document of which that leaves nothing but white space, or less than `left` of its characters, was a copy and goes;
+    all others stay. With `left` 0 every line that isn't repeated stays.
     """
     found = classes(docs, edits, least)
     repeat = F.col("long") & ~(F.col("doc_id").eqNullSafe(F.col("class_doc")) & (F.col("line_no") == F.col("class_line")))
@@ -167,7 +168,8 @@ def remove_repeats(docs: DataFrame, edits: int = EDITS, least: int = LEAST, left
     joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
     kept = F.filter(F.split(F.col("text"), "\n"), lambda x, i: ~F.array_contains("_gone", F.struct(i.alias("line_no"), F.md5(F.trim(x)).alias("m"))))
     out = joined.withColumn("_kept", F.when(F.col("_gone").isNotNull(), F.array_join(kept, "\n")))
-    out = out.where(F.col("_kept").isNull() | (F.char_length(F.trim(F.replace("_kept", F.lit("\n"), F.lit("")))) >= left * F.char_length("text")))
+    some = F.col("_kept").rlike(r"\S")
+    out = out.where(F.col("_kept").isNull() | some & (F.char_length(F.trim(F.replace("_kept", F.lit("\n"), F.lit("")))) >= left * F.char_length("text")))
     return out.withColumn("text", F.coalesce("_kept", "text")).select(*docs.columns)
 
 

@@ -12,6 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from loomwire import llm
 from loomwire.llm import _pairs, banded, block_topk, chat_format, decontaminate, harmonic_packing, jump_sharding, line_dedup, license_digest, order_minhash, rule_quality, url_templates
 from tests.oracle import connect, same
@@ -111,6 +112,15 @@ def test_repeated_lines_go_once(spark):
     assert sorted((r["doc_id"], r["text"] or "") for r in line_dedup.remove_repeats(docs).collect()) == [(1, f"{long}\nfirst"), (2, "the second document"), (4, ""), (4, "short"), (4, "short")]
 
 
+def test_pipeline_keeps_every_unique_line(spark, sf):
+    """A short paragraph of its own stays below long passages that other documents hold."""
+    passages = [f"{word * 12}is the passage that is quoted" for word in ("one ", "two ", "three ", "four ", "five ")]
+    rows = [(1, "\n".join(passages)), (2, "\n".join([*passages, "own words"])), (3, "\n".join([*passages, " \t"])), (4, "\n".join(["x", *passages]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r["doc_id"]: r["text"] for r in corpus_pipeline.lines(spark, docs, sf).collect()}
+    assert kept == {1: rows[0][1], 2: "own words", 4: "x"}
+
+
 # 3
 
 
