@@ -60,6 +60,22 @@ def test_chat_examples_have_all_their_context(spark):
     assert [(r["role"], r["text"]) for r in back] == [r[2:] for r in rows]
 
 
+def test_query_reads_its_examples(spark, sf, monkeypatch):
+    """The registered query fails on a missing example, a wrong context and a reply that isn't the stream's."""
+    expand = chat_format.expand
+    for wrong in (
+        lambda e: e.where("NOT (conv_id = -1 AND example = 0)"),
+        lambda e: e.withColumn("context_end", F.col("context_end") + F.when(F.col("conv_id") == -1, 1).otherwise(0)),
+        lambda e: e.withColumn("formatted", F.when(F.col("conv_id") == -1, F.concat("formatted", F.lit("."))).otherwise(F.col("formatted"))),
+    ):
+        monkeypatch.setattr(chat_format, "expand", lambda turns, wrong=wrong: wrong(expand(turns)))
+        with pytest.raises(Exception, match="examples don't match the stream of conversation -1"):
+            chat_format.query(spark, sf).collect()
+    monkeypatch.setattr(chat_format, "expand", lambda turns: expand(turns).withColumn("loss_end", F.col("loss_end") - 1))
+    row = chat_format.query(spark, sf).where("conv_id = -1").first()
+    assert row["loss_chars"] == len("<|im_end|><|im_start|>assistant ok") - 1
+
+
 def test_chat_blocks_agree(spark, monkeypatch):
     rows = [(c, t, "assistant" if t % 3 else "user", f"text {t}") for c in (1, 2) for t in range(40)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
