@@ -2,35 +2,40 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwire.streaming.ingest import shared_folder
+from loomwire.storage import discard, stored
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The rows written once in the shared folder and read again, which cuts the lineage of a loop."""
-    path = f"{shared_folder(df.sparkSession)}-{uuid.uuid4().hex[:8]}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+    """node and root (its component's least node) of all nodes of edges (a, b), by alternating large and small stars.
 
+    Each round is written once and replaces the one before; a hub's edges are reduced by partial aggregation, and the
+    joins read from files, so that adaptive execution can split a hub. Edges that already are stars around their least
+    node take one round. The caller may discard the result once it is stored elsewhere.
+    """
 
-def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
-    """node and root (the least node) of every node of edges (a, b).
+    def mark(df: DataFrame) -> tuple:
+        return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
-    Each round takes the least label among a node and its neighbours, then the label's own label, which halves paths.
-    """
-    both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("root")))
+    ends = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+    edges = stored(edges.select(*ends).where(F.col("a") != F.col("b")).distinct())
+    seen = mark(edges)
     for _ in range(rounds):
-        near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("_m"))
-        low = labels.join(near, "node").select("node", F.least("root", "_m").alias("root"), F.col("root").alias("_old"))
-        jump = labels.select(F.col("node").alias("root"), F.col("root").alias("_j"))
-        nxt = written(low.join(jump, "root", "left").select("node", F.least("root", F.coalesce("_j", "root")).alias("root"), "_old"))
-        changed = nxt.where("root <> _old").limit(1).count()
-        labels = nxt.select("node", "root")
-        if not changed:
-            return labels
-    raise RuntimeError("components did not settle")
+        both = edges.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e")).select("e.*")
+        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+        large = edges.withColumnRenamed("a", "u").join(least, "u").select(F.col("m").alias("a"), "b").where(F.col("a") != F.col("b"))
+        least = large.groupBy("b").agg(F.min("a").alias("m"))
+        small = large.join(least, "b").select(F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("b").alias("b")), F.struct(F.col("m").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*")
+        done, edges = edges, stored(small.where(F.col("a") != F.col("b")).distinct())
+        discard(done)
+        now = mark(edges)
+        if now == seen:
+            break
+        seen = now
+    else:
+        raise RuntimeError("components did not settle")
+    out = stored(edges.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct()))
+    discard(edges)
+    return out

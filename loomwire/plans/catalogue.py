@@ -272,18 +272,9 @@ def centroid_match_greedy(spark: SparkSession, d: str) -> DataFrame:
     old, new = vectors.centroids(v.where("event_id % 2 = 1")), vectors.centroids(v.where("event_id % 2 = 0"))
     pairs = vectors.nearest(new.select((-1 - F.col("cluster_id")).cast("long").alias("query_id"), F.col("centroid").alias("v")), old.select(F.col("cluster_id").cast("long").alias("id"), F.col("centroid").alias("v")), 5)
     pairs = pairs.select((-1 - F.col("query_id")).alias("new_id"), F.col("id").alias("old_id"), "similarity")
-    ingest_dir(spark)
     return vectors.greedy_matches(pairs, 0.0)
 
 
-def ingest_dir(spark: SparkSession) -> None:
-    """A checkpoint folder where the session has none (tests)."""
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-
-
 # Duplicates
 
 _NORM = "trim(lower(regexp_replace(coalesce({}, ''), '\\s+', ' ', 'g')))"

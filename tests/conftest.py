@@ -2,7 +2,6 @@ from __future__ import annotations
 
 import os
 import sys
-import tempfile
 
 import pytest
 
@@ -15,7 +14,6 @@ def spark():
 
     s = local_session(8, memory="6g", app="tests")
     s.sparkContext.setLogLevel("ERROR")
-    s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     yield s
 
 
