@@ -2,46 +2,33 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomwire.storage import stored  # noqa: F401
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Write once to the shared folder and read back: later stages start from files, whichever executor is lost."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/loomwire-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 #: Keys of at most so many rows (8 bytes each) are broadcast; more of them are joined by shuffle.
 BROADCAST_KEYS = 1_000_000
 
 
+def few(keys: DataFrame) -> bool:
+    """Whether a stored table of keys has at most so many rows as may be broadcast."""
+    return keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+
+
 def only(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     """The rows whose `key` is among wanted's (one column of that name, stored).
 
     Few keys go out as hashes, so the rows stay where they are; a hash that meets by chance lets a row through, and
     the caller's join drops it. The count is checked first, and beyond the bound the rows are shuffled.
     """
-    if wanted.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+    if few(wanted):
         hashed = wanted.select(F.xxhash64(key).alias("_h")).distinct()
         return rows.join(F.broadcast(hashed), F.xxhash64(rows[key]) == hashed["_h"], "left_semi")
     return rows.join(wanted, key, "left_semi")

@@ -24,9 +24,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwire.llm._common import only, read, stored
-from loomwire.llm._pairs import components
+from loomwire.llm._common import only, read
 from loomwire.llm.banded import within
+from loomwire.operators.graph import components
+from loomwire.storage import discard, stored
 
 EDITS, LEAST = 2, 40
 #: A document with a smaller share of its characters left after removal goes.

@@ -1,6 +1,6 @@
 """Near-duplicate documents by Order MinHash (operator 7).
 
-A document's k-mers are its word three-grams, each labelled with its occurrence number. A sketch draws the few k-mers of
+A document's k-mers are its word five-grams, each labelled with its occurrence number. A sketch draws the few k-mers of
 least hash under its own seed and keeps them in text order, so it is sensitive to edits and moves, not only to the
 set (Marcais et al., 2019). Texts that share one of the sketches are candidates, verified by banded alignment of their
 word sequences: near duplicates have an edit similarity 1 - distance / longer length of at least 0.8.
@@ -9,20 +9,19 @@ Texts of at most `SHORT` words are also bucketed by the segments of the edit joi
 pair among them. Lengths and parity bits of the words, both bounds of the distance, rule pairs out before any text is
 fetched.
 
-Equal texts are one node, so a group of copies costs no pair. Small buckets give all pairs. A large bucket gives a
-star around a leader drawn for it, then further stars around texts outside its largest class, which meet every text of
-another class, joined ones too; once few pairs are left, or stars no longer help, each text outside the largest class
-that hasn't led meets all texts of other classes at once. So of any two texts of a bucket that end in different classes,
-one has met the other. Classes are connected components.
+Equal texts are one node, so a group of copies costs no pair. First every text of a bucket meets the bucket's leader,
+its least text, and in large buckets then some texts of the bucket's largest class; a group of near copies is one class
+after that, but for strays. Then texts of one bucket that are in different classes meet. In buckets of more than `SMALL` texts only those do that share one of their rarest words, so many of each
+text's that two texts without a common one can't be similar (the prefix filter of exact set joins): no link is lost, and
+a passage that many texts hold makes no pairs. Classes are connected components.
 
-Defined results: a null text is empty; texts of fewer than three words are one k-mer, texts without words match only
+Defined results: a null text is empty; texts of fewer than five words are one k-mer, texts without words match only
 their equals; null doc_ids are grouped and never name a class unless all ids are null; repeated rows are copies; an
 empty table gives no rows; other columns are ignored (`query`) or kept (`keep_first`).
 """
 
 from __future__ import annotations
 
-import math
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -31,19 +30,25 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from loomwire.llm._common import only, read, stored
-from loomwire.llm._pairs import components, split, star_edges
+from loomwire.llm._common import few, only, read
 from loomwire.llm.banded import within
 from loomwire.llm.line_dedup import probes, segments
+from loomwire.operators.graph import components
+from loomwire.storage import discard, stored
 
-WORDS, SKETCHES, DRAWN, SIMILARITY = 3, 40, 2, 0.8
+WORDS, SKETCHES, DRAWN, SIMILARITY = 5, 96, 2, 0.8
 #: Pairs of texts of at most so many words are found without sketches.
 SHORT = 24
 #: Parity bits of a text's words.
 BITS = 512
-#: Further stars are drawn while the pairs left are more than so many times the rows.
-PAIRS_A_ROW = 4
+#: In buckets of more texts, pairs are looked for by rare words; both ways give the same links.
+SMALL = 32
+#: So many of a large bucket's largest class meet each other text of it before rare words are looked at.
+MET = 3
+#: Counters that order words by frequency; 8 bytes each, whatever the input.
+COUNTERS = 1 << 18
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
 
 
@@ -53,35 +58,55 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def sketches(words: list[bytes], k: int = WORDS, count: int = SKETCHES, drawn: int = DRAWN) -> list[int]:
-    """`count` sketches as signed 64-bit numbers; none for a text without words."""
-    if not words:
-        return []
-    one = np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
-    k = min(k, len(words))
-    grams = np.zeros(len(one) - k + 1, np.uint64)
+_SEEDS = {}
+
+
+def _seeds(count: int) -> tuple[np.ndarray, np.ndarray]:
+    if count not in _SEEDS:
+        drawn = _mix(np.arange(1, count + 1, dtype=np.uint64) * _MULTIPLIERS[0])
+        _SEEDS[count] = drawn.astype(np.uint32)[:, None], ((drawn >> np.uint64(32)).astype(np.uint32) | np.uint32(1))[:, None]
+    return _SEEDS[count]
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
+
+
+def kmers(one: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the k-mers of word hashes, each with its occurrence number."""
+    grams = np.zeros(max(0, len(one) - k + 1), np.uint64)
     for i in range(k):
         grams += _mix(one[i : i + len(grams)] + np.uint64(i + 1)) * _MULTIPLIERS[i % len(_MULTIPLIERS)]
     order = np.argsort(grams, kind="stable")
     ranked = grams[order]
-    new = np.concatenate([[True], ranked[1:] != ranked[:-1]])
-    if not new.all():  # occurrence labels
-        starts = np.flatnonzero(new)
+    new = ranked[1:] != ranked[:-1]
+    if not new.all():
+        starts = np.flatnonzero(np.concatenate([[True], new]))
         label = np.arange(len(ranked)) - np.repeat(starts, np.diff(np.append(starts, len(ranked))))
         grams[order] += _mix(label.astype(np.uint64)) * (label > 0)
-    seeds = _mix(np.arange(1, count + 1, dtype=np.uint64) * _MULTIPLIERS[0])
-    n, rows, key = min(drawn, len(grams)), np.arange(count), np.arange(count, dtype=np.uint64)
+    return grams
+
+
+def sketches(one: np.ndarray, k: int = WORDS, count: int = SKETCHES, drawn: int = DRAWN) -> np.ndarray:
+    """`count` sketches of word hashes as signed 64-bit numbers; none for a text without words."""
+    if not len(one):
+        return np.zeros(0, np.int64)
+    grams = kmers(one, min(k, len(one)))
+    high = (grams >> np.uint64(32)).astype(np.uint32)
+    xors, odds = _seeds(count)
+    n, key = min(drawn, len(grams)), np.arange(count, dtype=np.uint64)
     at = np.empty((count, n), np.int64)
-    step = max(1, 200_000 // len(grams))
-    for low in range(0, count, step):  # a long text takes few seeds at once
-        h = _mix(grams ^ seeds[low : low + step, None])
+    step = max(1, 50_000 // len(grams))
+    for low in range(0, count, step):  # what is worked on stays in the cache
+        h = (high ^ xors[low : low + step]) * odds[low : low + step]
+        rows = np.arange(len(h))
         for i in range(n):
             at[low : low + step, i] = least = h.argmin(axis=1)
-            h[rows[: len(h)], least] = np.uint64(2**64 - 1)
+            h[rows, least] = np.uint32(2**32 - 1)
     at.sort(axis=1)
     for i in range(n):
         key = _mix(key * _MULTIPLIERS[1] + grams[at[:, i]])
-    return key.astype(np.int64).tolist()
+    return key.view(np.int64)
 
 
 @cache
@@ -96,22 +121,31 @@ def _short_plan(n: int, similarity: float) -> list[tuple[int, int, int]]:
     return [(e << 32 | m << 16 | i, at, at + k) for e, m, i, at, k in sorted(own | asked)]
 
 
-def short_keys(words: list[bytes], similarity: float = SIMILARITY) -> list[int]:
+def short_keys(words: list[bytes], similarity: float = SIMILARITY) -> np.ndarray:
     """Keys of which any two texts of at most SHORT words that are similar enough share one; none for longer texts."""
     from xxhash import xxh3_64_intdigest as digest
 
     if not 0 < len(words) <= SHORT:
-        return []
+        return np.zeros(0, np.int64)
     keys = {digest(b" ".join(words[p:q]), seed) for seed, p, q in _short_plan(len(words), similarity)}
-    return np.array(sorted(keys), np.uint64).view(np.int64).tolist()
+    return np.array(sorted(keys), np.uint64).view(np.int64)
 
 
-def parity(words: list[bytes]) -> list[int]:
+def parity(one: np.ndarray) -> list[int]:
     """Whether the words of each hash value are odd in number, as 64-bit numbers; an edit changes two bits at most."""
-    counts = np.bincount(np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % BITS, minlength=BITS)
+    counts = np.bincount((one % np.uint64(BITS)).astype(np.int64), minlength=BITS)
     return np.packbits((counts & 1).astype(np.uint8)).view(np.int64).tolist()
 
 
+def rare_words_needed(n: int, similarity: float = SIMILARITY) -> int:
+    """Of so many of the rarest words of a text of n words, each text that is similar enough has one at least.
+
+    An edit of the longer text, of m words, changes one of them, so m - edits words are common to both.
+    """
+    common = min((m - int((1 - similarity) * m + 1e-9) for m in range(n, int(n / similarity + 1e-9) + 1)), default=0)
+    return max(0, n - max(1, common) + 1)
+
+
 def _may_be_similar(n: str, m: str, p: str, q: str, similarity: float) -> Column:
     """False only where the lengths n and m or the parity bits p and q rule it out."""
     apart = sum((F.bit_count(F.col(p)[i].bitwiseXOR(F.col(q)[i])) for i in range(BITS // 64)), F.lit(0))
@@ -129,10 +163,12 @@ def sketched(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
                 n, s, odd = [], [], []
                 for text in batch.column("text"):
                     words = (text.as_py() or "").encode("utf-8", "replace").split()
+                    one = word_hashes(words)
                     n.append(len(words))
-                    s.append(sketches(words) + short_keys(words, similarity))
-                    odd.append(parity(words))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("t"), pa.array(n, pa.int32()), pa.array(s, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))], ["doc_id", "t", "n", "s", "p"])
+                    s.append(np.concatenate([sketches(one), short_keys(words, similarity)]))
+                    odd.append(parity(one))
+                keys = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, s)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *s])))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("t"), pa.array(n, pa.int32()), keys, pa.array(odd, pa.list_(pa.int64()))], ["doc_id", "t", "n", "s", "p"])
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return docs.select(F.col("doc_id").cast("long"), F.md5(text).alias("t"), text.alias("text")).mapInArrow(run, "doc_id long, t string, n int, s array<long>, p array<long>")
@@ -158,64 +194,122 @@ def similar(edges: DataFrame, texts: DataFrame, similarity: float = SIMILARITY)
     return edges.join(own, "a").join(other, "b").select(*names, "_x", "_y").mapInArrow(run, edges.schema)
 
 
+def rare_words(rows: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """g, t, n, root: as many of each text's rarest words as `rare_words_needed` says. rows has t, n and root.
+
+    A word that a text repeats counts as so many different ones. Words are ordered by how often these texts hold them,
+    estimated by counters of fixed number, then by hash.
+    """
+
+    def grams(text: pa.Scalar) -> np.ndarray:
+        return kmers(word_hashes((text.as_py() or "").encode("utf-8", "replace").split()), 1)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                for low in range(0, len(batch), 256):
+                    some = np.concatenate([grams(text) for text in batch.slice(low, 256).column("text")])
+                    total += np.bincount((some % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["slot", "c"])
+
+    def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = seen.value
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                for low in range(0, len(batch), 256):  # so many texts' words at a time
+                    some, take, out = batch.slice(low, 256), [], []
+                    for text, n in zip(some.column("text"), some.column("n").to_pylist(), strict=True):
+                        g = grams(text)
+                        rarest = np.lexsort((g, counts[(g % np.uint64(COUNTERS)).astype(np.int64)]))[: rare_words_needed(n, similarity)]
+                        out.append(g[rarest].view(np.int64))
+                        take.append(len(rarest))
+                    at = pa.array(np.repeat(np.arange(len(some)), take))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), *[some.column(c).take(at) for c in ("t", "n", "root")]], ["g", "t", "n", "root"])
+
+    full = stored(rows.join(texts, "t").select("t", "n", "root", "text"))
+    table = np.zeros(COUNTERS, np.int64)
+    sums = full.select("text").mapInArrow(counted, "slot long, c long").groupBy("slot").agg(F.sum("c").alias("c")).toArrow()
+    table[sums["slot"].to_numpy()] = sums["c"].to_numpy()
+    seen = rows.sparkSession.sparkContext.broadcast(table)
+    out = stored(full.mapInArrow(picked, "g long, t string, n int, root string"))
+    discard(full)
+    return out
+
+
 def roots(items: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """node and root of every text that has a near duplicate; items has t, n, s and p, one row per text, docs t and text.
 
-    Only links between texts that aren't connected yet are looked for, so a group of copies adds a star, not its pairs.
+    Texts that are connected already are not compared, so a group of copies adds a star, not its pairs.
     """
     facts = items.select("t", "n", "p")
-    rows = items.select("t", F.explode("s").alias("key"))
-    shared = stored(rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"))
-    pairs, star, large = split(stored(only(rows, "key", shared)))
-
-    def possible(edges: DataFrame) -> DataFrame:
-        """The edges (a, b) whose lengths and parity bits don't rule them out."""
-        own, other = facts.toDF("a", "n", "p"), facts.toDF("b", "m", "q")
-        return edges.join(own, "a").join(other, "b").where(_may_be_similar("n", "m", "p", "q", similarity)).select("a", "b")
-
-    asked = stored(possible(pairs.unionByName(star_edges(star)).distinct()))
-    # the texts that may be compared are fetched once
-    used = asked.select(F.col("a").alias("t")).unionByName(asked.select(F.col("b").alias("t"))).unionByName(large.select("t")).distinct()
-    texts = stored(only(docs, "t", stored(used)).dropDuplicates(["t"]))
-
-    def joined(known: DataFrame, edges: DataFrame) -> DataFrame:
-        """The mapping after further edges, which meet the roots only."""
-        e = edges.join(known.select(F.col("node").alias("a"), F.col("root").alias("_ra")), "a", "left").join(known.select(F.col("node").alias("b"), F.col("root").alias("_rb")), "b", "left")
-        over = stored(components(e.select(F.coalesce("_ra", "a").alias("a"), F.coalesce("_rb", "b").alias("b"))))
-        moved = known.join(over.select(F.col("node").alias("root"), F.col("root").alias("_to")), "root", "left").select("node", F.coalesce("_to", "root").alias("root"))
-        return stored(moved.unionByName(over.join(known, "node", "left_anti")))
-
-    known = stored(components(stored(similar(asked, texts, similarity))))
-    large = stored(large)
-    led = stored(star.select("key", F.col("leader").alias("t")).distinct())
-    before = None
-    while True:
-        # the large buckets that hold more than one class, and each text's part in them
-        now = large.join(known.select(F.col("node").alias("t"), "root"), "t", "left").select("key", "t", F.coalesce("root", "t").alias("root"))
-        by = now.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
-        by = by.groupBy("key").agg(F.max(F.struct("c", "root")).alias("_m"), F.sum("c").alias("size"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
-        now = now.join(by.select("key", F.col("_m.root").alias("main"), "size"), "key").join(led.withColumn("led", F.lit(True)), ["key", "t"], "left")
-        now = stored(now.select("key", "t", "root", "size", ((F.col("root") != F.col("main")) & F.col("led").isNull()).alias("open")))
-        count, left = now.agg(F.count(F.lit(1)), F.sum(F.when(F.col("open"), F.col("size")))).first()
-        if not left:
-            return known
-        if left <= PAIRS_A_ROW * count or (before is not None and left > 0.8 * before):
-            break
-        before = left
-        drawn = now.where("open").groupBy("key").agg(F.min(F.struct(F.xxhash64("t", "key").alias("h"), "t", "root")).alias("_l"))
-        drawn = stored(drawn.select("key", F.col("_l.t").alias("leader"), F.col("_l.root").alias("_r")))
-        met = now.join(drawn, "key").where(F.col("root") != F.col("_r")).select("t", "leader")
-        edges = stored(possible(star_edges(met).distinct().join(asked, ["a", "b"], "left_anti")))
-        known = joined(known, stored(similar(edges, texts, similarity)))
-        asked = stored(asked.unionByName(edges))
-        led = stored(led.unionByName(drawn.select("key", F.col("leader").alias("t"))))
-    # what is left meets at once; similar texts are of the same or the next class of length
-    width = -math.log(min(max(similarity, 0.01), 0.999)) * 1.0001
-    now = now.join(facts, "t").withColumn("c", F.floor(F.log("n") / width))
-    one = now.where("open").select("key", F.explode(F.array(F.col("c") - 1, F.col("c"), F.col("c") + 1)).alias("c"), F.col("t").alias("u"), F.col("root").alias("v"), F.col("n").alias("m"), F.col("p").alias("q"))
-    both = stored(now).join(stored(one), ["key", "c"]).where((F.col("root") != F.col("v")) & _may_be_similar("n", "m", "p", "q", similarity))
-    edges = stored(both.select(F.least("t", "u").alias("a"), F.greatest("t", "u").alias("b")).distinct().join(asked, ["a", "b"], "left_anti"))
-    return joined(known, stored(similar(edges, texts, similarity)))
+
+    def texts(used: DataFrame) -> DataFrame:
+        return only(docs, "t", used).dropDuplicates(["t"])
+
+    def verified(edges: DataFrame) -> DataFrame:
+        """The similar ones of stored edges (a, b)."""
+        used = stored(edges.select(F.explode(F.array("a", "b")).alias("t")).distinct())
+        fetched = stored(texts(used))
+        out = stored(similar(edges, fetched, similarity))
+        discard(used, fetched)
+        return out
+
+    # digests are spread evenly: the first 60 bits, in the order of the digests, stand for a text in counts and keys
+    rows = items.select("t", F.conv(F.substring("t", 1, 15), 16, 10).cast("long").alias("h"), "n", "p", F.explode("s").alias("key"))
+    buckets = stored(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("h").alias("leader")).where("size > 1"))
+    members = stored(rows.join(F.broadcast(buckets) if few(buckets) else buckets, "key"))
+    discard(buckets)
+
+    lead = members.where("h = leader").select("key", F.col("t").alias("a"), F.col("n").alias("m"), F.col("p").alias("q"))
+    star = members.join(lead, "key").where((F.col("t") > F.col("a")) & _may_be_similar("n", "m", "p", "q", similarity))
+    asked = stored(star.select("a", F.col("t").alias("b")).distinct())
+    found = verified(asked)
+    known = components(found)
+
+    def mixed(known: DataFrame) -> DataFrame:
+        """The rows of the buckets that hold more than one class, with their classes' roots."""
+        now = members.drop("h", "leader").join(known.select(F.col("node").alias("t"), "root"), "t", "left").withColumn("root", F.coalesce("root", "t"))
+        now = stored(now)
+        keys = now.groupBy("key").agg(F.min(F.xxhash64("root")).alias("lo"), F.max(F.xxhash64("root")).alias("hi")).where("lo <> hi").select("key")
+        out = stored(now.join(keys, "key"))
+        discard(now)
+        return out
+
+    # in large buckets every text outside the largest class meets some of that class, so that drifted copies join it
+    left = mixed(known)
+    large = left.where(F.col("size") > SMALL)
+    main = large.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max(F.struct("c", "root")).alias("_m")).select("key", F.col("_m.root").alias("main"))
+    large = stored(large.join(main, "key"))
+    place = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("t", "key"), "t"))
+    some = large.where("root = main").withColumn("place", place).where(F.col("place") <= MET).select("key", F.col("t").alias("u"), F.col("n").alias("m"), F.col("p").alias("q"))
+    met = large.where("root <> main").join(some, "key").where(_may_be_similar("n", "m", "p", "q", similarity))
+    met = stored(met.select(F.least("t", "u").alias("a"), F.greatest("t", "u").alias("b")).distinct().join(asked, ["a", "b"], "left_anti"))
+    more = verified(met)
+    discard(left, large, known)
+    asked, found = asked.unionByName(met), found.unionByName(more)
+    known = components(found)
+    left = mixed(known)
+    discard(members, known)
+
+    x, y = left.where(F.col("size") <= SMALL), left.where(F.col("size") <= SMALL).select("key", F.col("t").alias("u"), F.col("n").alias("m"), F.col("p").alias("q"), F.col("root").alias("v"))
+    near = x.join(y, "key").where((F.col("t") < F.col("u")) & (F.col("root") != F.col("v")) & _may_be_similar("n", "m", "p", "q", similarity))
+    pairs = stored(near.select(F.col("t").alias("a"), F.col("u").alias("b")).distinct())
+
+    large = stored(left.where(F.col("size") > SMALL).groupBy("t").agg(F.first("n").alias("n"), F.first("root").alias("root")))
+    every = rare_words(large, texts(large.select("t")), similarity)
+    shared = every.groupBy("g").agg(F.min(F.xxhash64("root")).alias("lo"), F.max(F.xxhash64("root")).alias("hi")).where("lo <> hi").select("g")
+    rare = stored(every.join(shared, "g"))
+    longer, shorter = F.greatest("n", "m"), F.least("n", "m")
+    fit = longer - shorter <= F.floor((1 - similarity) * longer + F.lit(1e-9))
+    met = rare.join(rare.select("g", F.col("t").alias("u"), F.col("n").alias("m"), F.col("root").alias("v")), "g").where((F.col("t") < F.col("u")) & (F.col("root") != F.col("v")) & fit)
+    met = met.select(F.col("t").alias("a"), F.col("u").alias("b")).distinct()
+    met = met.join(facts.toDF("a", "n", "p"), "a").join(facts.toDF("b", "m", "q"), "b").where(_may_be_similar("n", "m", "p", "q", similarity)).select("a", "b")
+    rest = stored(pairs.unionByName(met).distinct().join(asked, ["a", "b"], "left_anti"))
+    out = components(found.unionByName(verified(rest)))
+    discard(left, pairs, large, every, rare, rest)
+    return out
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
