@@ -46,7 +46,9 @@ BITS = 512
 #: In buckets of more texts, pairs are looked for by rare words; both ways give the same links.
 SMALL = 32
 #: So many of a large bucket's largest class meet each other text of it before rare words are looked at.
-MET = 3
+MET = 2
+#: Words before a rare word that are kept with it.
+WINDOW = 16
 #: Counters that order words by frequency; 8 bytes each, whatever the input.
 COUNTERS = 1 << 18
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
@@ -147,11 +149,15 @@ def rare_words_needed(n: int, similarity: float = SIMILARITY) -> int:
 
 
 def _may_be_similar(n: str, m: str, p: str, q: str, similarity: float) -> Column:
-    """False only where the lengths n and m or the parity bits p and q rule it out."""
+    """False only where the lengths n and m or the parity bits p and q rule it out.
+
+    Two texts are at least as many edits apart as one has words that the other hasn't: half of all words that they don't
+    share and of the difference of their lengths.
+    """
     apart = sum((F.bit_count(F.col(p)[i].bitwiseXOR(F.col(q)[i])) for i in range(BITS // 64)), F.lit(0))
     longer = F.greatest(n, m)
     edits = F.floor((1 - similarity) * longer + F.lit(1e-9))
-    return (longer - F.least(n, m) <= edits) & (apart <= 2 * edits)
+    return (longer - F.least(n, m) <= edits) & (apart + longer - F.least(n, m) <= 2 * edits)
 
 
 def sketched(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -195,12 +201,15 @@ def similar(edges: DataFrame, texts: DataFrame, similarity: float = SIMILARITY)
 
 
 def rare_words(rows: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """g, t, n, root: as many of each text's rarest words as `rare_words_needed` says. rows has t, n and root.
+    """g, before, t, n, p, root: as many of each text's rarest words as `rare_words_needed` says. rows has t, n, p and root.
 
     A word that a text repeats counts as so many different ones. Words are ordered by how often these texts hold them,
-    estimated by counters of fixed number, then by hash.
+    estimated by counters of fixed number, then by hash. `before` has the WINDOW words before g in that order: two texts
+    that share one of those have met there, so they needn't meet at g.
     """
 
+    names = ["t", "n", "p", "root"]
+
     def grams(text: pa.Scalar) -> np.ndarray:
         return kmers(word_hashes((text.as_py() or "").encode("utf-8", "replace").split()), 1)
 
@@ -219,21 +228,25 @@ def rare_words(rows: DataFrame, texts: DataFrame, similarity: float) -> DataFram
         with np.errstate(over="ignore"):
             for batch in batches:
                 for low in range(0, len(batch), 256):  # so many texts' words at a time
-                    some, take, out = batch.slice(low, 256), [], []
+                    some, take, out, before = batch.slice(low, 256), [], [], []
                     for text, n in zip(some.column("text"), some.column("n").to_pylist(), strict=True):
                         g = grams(text)
                         rarest = np.lexsort((g, counts[(g % np.uint64(COUNTERS)).astype(np.int64)]))[: rare_words_needed(n, similarity)]
-                        out.append(g[rarest].view(np.int64))
-                        take.append(len(rarest))
+                        rank = g[rarest].view(np.int64)
+                        out.append(rank)
+                        take.append(len(rank))
+                        before += [rank[max(0, i - WINDOW) : i] for i in range(len(rank))]
                     at = pa.array(np.repeat(np.arange(len(some)), take))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), *[some.column(c).take(at) for c in ("t", "n", "root")]], ["g", "t", "n", "root"])
+                    ends = pa.array(np.cumsum([0, *map(len, before)]), pa.int32())
+                    lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int64), *before])))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), lists, *[some.column(c).take(at) for c in names]], ["g", "before", *names])
 
-    full = stored(rows.join(texts, "t").select("t", "n", "root", "text"))
+    full = stored(rows.join(texts, "t").select(*names, "text"))
     table = np.zeros(COUNTERS, np.int64)
     sums = full.select("text").mapInArrow(counted, "slot long, c long").groupBy("slot").agg(F.sum("c").alias("c")).toArrow()
     table[sums["slot"].to_numpy()] = sums["c"].to_numpy()
     seen = rows.sparkSession.sparkContext.broadcast(table)
-    out = stored(full.mapInArrow(picked, "g long, t string, n int, root string"))
+    out = stored(full.mapInArrow(picked, "g long, before array<long>, t string, n int, p array<long>, root string"))
     discard(full)
     return out
 
@@ -243,7 +256,6 @@ def roots(items: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) ->
 
     Texts that are connected already are not compared, so a group of copies adds a star, not its pairs.
     """
-    facts = items.select("t", "n", "p")
 
     def texts(used: DataFrame) -> DataFrame:
         return only(docs, "t", used).dropDuplicates(["t"])
@@ -297,15 +309,13 @@ def roots(items: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) ->
     near = x.join(y, "key").where((F.col("t") < F.col("u")) & (F.col("root") != F.col("v")) & _may_be_similar("n", "m", "p", "q", similarity))
     pairs = stored(near.select(F.col("t").alias("a"), F.col("u").alias("b")).distinct())
 
-    large = stored(left.where(F.col("size") > SMALL).groupBy("t").agg(F.first("n").alias("n"), F.first("root").alias("root")))
+    large = stored(left.where(F.col("size") > SMALL).groupBy("t").agg(*[F.first(c).alias(c) for c in ("n", "p", "root")]))
     every = rare_words(large, texts(large.select("t")), similarity)
     shared = every.groupBy("g").agg(F.min(F.xxhash64("root")).alias("lo"), F.max(F.xxhash64("root")).alias("hi")).where("lo <> hi").select("g")
     rare = stored(every.join(shared, "g"))
-    longer, shorter = F.greatest("n", "m"), F.least("n", "m")
-    fit = longer - shorter <= F.floor((1 - similarity) * longer + F.lit(1e-9))
-    met = rare.join(rare.select("g", F.col("t").alias("u"), F.col("n").alias("m"), F.col("root").alias("v")), "g").where((F.col("t") < F.col("u")) & (F.col("root") != F.col("v")) & fit)
-    met = met.select(F.col("t").alias("a"), F.col("u").alias("b")).distinct()
-    met = met.join(facts.toDF("a", "n", "p"), "a").join(facts.toDF("b", "m", "q"), "b").where(_may_be_similar("n", "m", "p", "q", similarity)).select("a", "b")
+    other = rare.select("g", F.col("before").alias("other"), F.col("t").alias("u"), F.col("n").alias("m"), F.col("p").alias("q"), F.col("root").alias("v"))
+    met = rare.join(other, "g").where((F.col("t") < F.col("u")) & (F.col("root") != F.col("v")) & _may_be_similar("n", "m", "p", "q", similarity) & ~F.arrays_overlap("before", "other"))
+    met = met.select(F.col("t").alias("a"), F.col("u").alias("b"))
     rest = stored(pairs.unionByName(met).distinct().join(asked, ["a", "b"], "left_anti"))
     out = components(found.unionByName(verified(rest)))
     discard(left, pairs, large, every, rare, rest)
@@ -326,17 +336,18 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """`docs` with one row of each class: the least doc_id's, nulls last; of repeated such rows the least text's."""
+    """`docs` with one row of each class: the least doc_id's, nulls last; of repeated such rows the least text's.
+
+    All other columns are kept, whatever their names.
+    """
     found = stored(classes(docs, similarity))
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("t"))
-    first = found.groupBy("root").agg(F.min(order).alias("o")).select(F.col("o.doc_id").alias("_id"), F.col("o.t").alias("_t"))
-    copies = found.groupBy(F.col("doc_id").alias("_id"), F.col("t").alias("_t")).agg(F.count(F.lit(1)).alias("_n"))
-    first = first.alias("f").join(copies.alias("c"), F.col("f._id").eqNullSafe(F.col("c._id")) & (F.col("f._t") == F.col("c._t"))).select("f._id", "f._t", "c._n")
-    digest = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    kept = docs.withColumn("_d", digest).join(first, F.col("_d").eqNullSafe(F.col("_t")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
-    one = kept.where(F.col("_n") == 1).select(*docs.columns)
-    many = kept.where(F.col("_n") > 1).dropDuplicates(["_d", "_id"]).select(*docs.columns)
-    return one.unionByName(many)
+    first = found.groupBy("root").agg(F.min(order).alias("o")).select(F.col("o.doc_id").alias("id"), F.col("o.t").alias("t"))
+    copies = found.groupBy(F.col("doc_id").alias("id"), "t").agg(F.count(F.lit(1)).alias("n"))
+    first = first.alias("f").join(copies.alias("c"), F.col("f.id").eqNullSafe(F.col("c.id")) & (F.col("f.t") == F.col("c.t"))).select("f.id", "f.t", "c.n")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("d"))
+    kept = rows.join(first, (F.col("d") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("id")))
+    return kept.where("n = 1").select("row.*").unionByName(kept.where("n > 1").dropDuplicates(["d", "id"]).select("row.*"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
