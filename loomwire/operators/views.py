@@ -19,8 +19,10 @@ def gate(articles: DataFrame, sources: DataFrame, params: Params = DEFAULTS) ->
 
 def statuses(gated: DataFrame) -> DataFrame:
     """Each article's status: below the gate, an exact copy of an earlier body, or processed."""
-    first = gated.groupBy(F.md5("body").alias("_b")).agg(F.min("doc_id").alias("_first"))
-    out = gated.withColumn("_b", F.md5("body")).join(first, "_b")
+    digest = F.md5("body")
+    first = gated.where("body IS NOT NULL").groupBy(digest.alias("_b")).agg(F.min("doc_id").alias("_first"))
+    # an article without a body is no copy; a left join keeps it without gathering such rows anywhere
+    out = gated.withColumn("_d", digest).join(first, F.col("_d") == F.col("_b"), "left")
     status = F.when(~F.col("passes"), "dropped_lowcred").when(F.col("doc_id") != F.col("_first"), "duplicate").otherwise("processed")
     return out.select("doc_id", "source", "credibility", "fetched_at", status.alias("status"))
 

@@ -122,7 +122,7 @@ def window_frequency_6h(spark: SparkSession, d: str) -> DataFrame:
 _DAYS = P.weak_days + 1
 _SMALL = f"""
 lo AS (SELECT epoch(t)::BIGINT // 86400 - {P.weak_days} AS d0, t - INTERVAL {P.weak_days} DAYS AS since FROM now_),
-sm AS (SELECT *, CASE WHEN small_id % 7 = 0 THEN small_id END AS sid FROM ev),
+sm AS (SELECT *, small_id AS sid FROM ev),
 de AS (SELECT sid, (epoch(created_at)::BIGINT // 86400 - d0)::INT AS day FROM sm, lo WHERE sid IS NOT NULL),
 dc AS (SELECT sid, day, count(*) AS n FROM de WHERE day BETWEEN 0 AND {_DAYS - 1} GROUP BY sid, day),
 ds AS (SELECT sid, day, coalesce(n, 0) AS n FROM (SELECT DISTINCT sid FROM dc) k CROSS JOIN (SELECT range::INT AS day FROM range({_DAYS})) g LEFT JOIN dc USING (sid, day)),
@@ -147,7 +147,7 @@ def _recursive(s: str) -> str:
 
 
 def _small_events(spark: SparkSession, d: str) -> DataFrame:
-    return M.events(spark, d).withColumn("sid", F.when(F.col("small_id") % 7 == 0, F.col("small_id")))
+    return M.events(spark, d).withColumn("sid", F.col("small_id"))
 
 
 def _joined(c: str) -> Column:
@@ -199,19 +199,19 @@ _W = P.weak_weights
     _recursive(
         sql(
             "asof ev",
-            f"SELECT sid, {_round('burst')} AS burst, {_round(f'({_W[0]} * nov + {_W[1]} * 0.5 + {_W[2]} * burst) * mean_credibility')} AS combined FROM emg WHERE burst > 0 AND ({_W[0]} * nov + {_W[1]} * 0.5 + {_W[2]} * burst) * mean_credibility >= {P.weak_threshold} AND sid NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O')",
+            f"SELECT sid, {_round('burst')} AS burst, {_round(f'({_W[0]} * nov + {_W[1]} * 0.0 + {_W[2]} * burst) * mean_credibility')} AS combined FROM emg WHERE burst > 0 AND ({_W[0]} * nov + {_W[1]} * 0.0 + {_W[2]} * burst) * mean_credibility >= {P.weak_threshold} AND sid NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O')",
             _CAND + f", emg AS (SELECT sc.sid, mean_credibility, coalesce(burst, 0.0) AS burst, (SELECT 1 - min(n) / (SELECT sum(n) FROM ct) FROM ct WHERE list_contains(string_split(sc.categories, ','), ct.category)) AS nov FROM sc LEFT JOIN bu USING (sid) WHERE sid IN (SELECT sid FROM sm GROUP BY sid HAVING count(*) <= {P.small_cluster}))",
         )
     )
 )
 def weak_signals_emerging(spark: SparkSession, d: str) -> DataFrame:
-    """The emerging small clusters without an open signal; rarity stands for novelty, isolation is neutral."""
+    """The emerging small clusters without an open signal; rarity stands for novelty, and isolation is 0, as where it is not computed."""
     ev = _small_events(spark, d)
     cand = weak.small_clusters(ev, "sid", M.as_of(spark, d))
     rare = weak.rarity(weak.category_counts(ev), ev.count())
     most = cand.select("sid", F.explode("categories").alias("category")).join(rare, "category", "left").groupBy("sid").agg(F.max(F.coalesce("rarity", F.lit(1.0))).alias("nov"))
     cand = cand.join(most, "sid", "left").withColumn("burst", F.coalesce(weak.burst(F.col("daily")), F.lit(0.0)))
-    cand = cand.withColumn("combined", weak.combined(F.coalesce("nov", F.lit(1.0)), F.lit(0.5), F.col("burst"), F.col("mean_credibility"))).withColumnRenamed("sid", "ref")
+    cand = cand.withColumn("combined", weak.combined(F.coalesce("nov", F.lit(1.0)), F.lit(0.0), F.col("burst"), F.col("mean_credibility"))).withColumnRenamed("sid", "ref")
     out = weak.emerging(cand, M.dispatches(spark, d).where("status = 'O'").select(F.col("dispatch_id").alias("ref")))
     return rounded(out, ["burst", "combined"]).select(F.col("ref").alias("sid"), "burst", "combined")
 
@@ -272,7 +272,7 @@ def centroid_match_greedy(spark: SparkSession, d: str) -> DataFrame:
     old, new = vectors.centroids(v.where("event_id % 2 = 1")), vectors.centroids(v.where("event_id % 2 = 0"))
     pairs = vectors.nearest(new.select((-1 - F.col("cluster_id")).cast("long").alias("query_id"), F.col("centroid").alias("v")), old.select(F.col("cluster_id").cast("long").alias("id"), F.col("centroid").alias("v")), 5)
     pairs = pairs.select((-1 - F.col("query_id")).alias("new_id"), F.col("id").alias("old_id"), "similarity")
-    return vectors.greedy_matches(pairs, 0.0)
+    return vectors.greedy_matches(pairs, P.match_centroid)
 
 
 # Duplicates
@@ -285,7 +285,7 @@ _GRAMS = "CASE WHEN length({0}) = 0 THEN [] WHEN length({0}) <= 5 THEN [{0}] ELS
     sql(
         "art",
         f"SELECT doc_id, first_id, {_round('len(list_intersect(a, b)) / greatest(len(a) + len(b) - len(list_intersect(a, b)), 1)')} AS jaccard FROM p",
-        f"one AS (SELECT title, left({_NORM.format('body')}, 400) AS text, min(doc_id) AS doc_id FROM art WHERE title <> '' GROUP BY ALL), "
+        f"one AS (SELECT title, {_NORM.format("concat_ws(' ', title, body)")} AS text, min(doc_id) AS doc_id FROM art WHERE title <> '' GROUP BY ALL), "
         "f AS (SELECT title, min(doc_id) AS first_id, arg_min(text, doc_id) AS t FROM one GROUP BY title), "
         f"p AS (SELECT doc_id, first_id, {_GRAMS.format('text')} AS a, {_GRAMS.format('t')} AS b FROM one JOIN f USING (title) WHERE doc_id <> first_id)",
     )
@@ -338,7 +338,7 @@ def duplicate_merge(spark: SparkSession, d: str) -> DataFrame:
 # Gate, statuses, tallies
 
 _GATE = f"g AS (SELECT a.*, coalesce(s.credibility, {P.default_credibility}) AS w FROM art a LEFT JOIN src s ON s.name = a.source)"
-_STATUS = _GATE + f", st AS (SELECT doc_id, fetched_at, CASE WHEN w < {P.gate_threshold} THEN 'dropped_lowcred' WHEN doc_id <> min(doc_id) OVER (PARTITION BY body) THEN 'duplicate' ELSE 'processed' END AS status FROM g WHERE body IS NOT NULL)"
+_STATUS = _GATE + f", st AS (SELECT doc_id, fetched_at, CASE WHEN w < {P.gate_threshold} THEN 'dropped_lowcred' WHEN body IS NOT NULL AND doc_id <> min(doc_id) OVER (PARTITION BY body) THEN 'duplicate' ELSE 'processed' END AS status FROM g)"
 
 
 def _statuses(spark: SparkSession, d: str) -> DataFrame:
