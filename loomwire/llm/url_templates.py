@@ -5,8 +5,9 @@ Each host has a tree over its paths' segments. At a node, segments with digits a
 side of one half, or on neither, are merged. What is left is a template, and a template whose smoothed labelled purity
 is below `reject_below` is rejected. Purity is smoothed towards one half, so a template without labels passes.
 
-The tree is grown level by level over the distinct paths, with counts made before each shuffle and a level's table
-written once; segments beyond the last level stay one segment. No node is ever gathered.
+The tree is grown level by level over the distinct paths, down to the last segment of the longest, with counts made
+before each shuffle and a level's table written once; paths that have ended are set aside and not carried on. No node is
+ever gathered.
 
 In the registered query explicit rules come first, longest rule first; the pages they decide are the labelled ones,
 and the method judges all other pages.
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from loomwire.llm._common import read, stored
 
-LEVELS, SUPPORT, SMOOTHING, REJECT_BELOW, Z = 4, 5, 4.0, 0.35, 1.96
+SUPPORT, SMOOTHING, REJECT_BELOW, Z = 5, 4.0, 0.35, 1.96
 #: Fixed values: (verdict, host, path).
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -54,16 +55,19 @@ def _side(good: Column, bad: Column) -> Column:
     return F.when(n == 0, "0").when(mid - half > 0.5, "+").when(mid + half < 0.5, "-").otherwise("0")
 
 
-def templates(pages: DataFrame, levels: int = LEVELS, support: int = SUPPORT) -> DataFrame:
+def templates(pages: DataFrame, support: int = SUPPORT) -> DataFrame:
     """host, path and template of every distinct path; `pages` has host, path and label (1 good, 0 bad, null none)."""
     sums = [F.sum(c).alias(c) for c in ("n", "good", "bad")]
-    segs = F.split("path", "/", levels + 1)
+    out = ["host", "path", "template", "n", "good", "bad"]
     paths = pages.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == 1).alias("good"), F.count_if(F.col("label") == 0).alias("bad"))
-    paths = stored(paths.select("*", F.slice(segs, 2, levels).alias("segs"), F.lit("").alias("template")))
-    for level in range(levels):
-        deeper = F.size("segs") > level
-        seg = F.col("segs")[level]
-        children = paths.where(deeper).groupBy("host", "template", seg.alias("seg")).agg(*sums)
+    segs = F.split("path", "/")
+    active = stored(paths.select("*", F.slice(segs, 2, F.greatest(F.size(segs) - 1, F.lit(0))).alias("segs"), F.lit("").alias("template")))
+    deepest = active.agg(F.max(F.size("segs"))).first()[0] or 0
+    ended = []
+    for level in range(deepest):
+        ended.append(active.where(F.size("segs") <= level).select(*out))
+        paths = active.where(F.size("segs") > level).withColumn("seg", F.col("segs")[level])
+        children = paths.groupBy("host", "template", "seg").agg(*sums)
         variable = (F.col("n") < support) | F.col("seg").rlike("[0-9]")
         children = children.withColumn("branch", F.when(variable, "*").otherwise(F.col("seg")))
         branches = children.groupBy("host", "template", "branch").agg(*sums).withColumn("side", _side(F.col("good"), F.col("bad")))
@@ -71,9 +75,9 @@ def templates(pages: DataFrame, levels: int = LEVELS, support: int = SUPPORT) ->
         token = F.when(F.col("alike") > 1, F.concat(F.lit("*"), "side")).otherwise(F.col("branch"))
         named = branches.join(merged, ["host", "template", "side"]).select("host", "template", "branch", token.alias("token"))
         to = children.join(named, ["host", "template", "branch"]).select("host", "template", "seg", "token")
-        grown = paths.withColumn("seg", F.when(deeper, seg)).join(to, ["host", "template", "seg"], "left")
-        paths = stored(grown.select("host", "path", "n", "good", "bad", "segs", F.concat("template", F.coalesce(F.concat(F.lit("/"), "token"), F.lit(""))).alias("template")))
-    return paths.select("host", "path", "template", "n", "good", "bad")
+        grown = paths.join(to, ["host", "template", "seg"])
+        active = stored(grown.select("host", "path", "n", "good", "bad", "segs", F.concat("template", F.lit("/"), "token").alias("template")))
+    return reduce(DataFrame.unionByName, ended, active.select(*out))
 
 
 def judged(paths: DataFrame, smoothing: float = SMOOTHING, reject_below: float = REJECT_BELOW) -> DataFrame:
@@ -95,6 +99,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", F.coalesce("said", "verdict").alias("verdict"), "template")
 
 
+#: Levels that the SQL is written out for; the given tables have no longer paths.
+_UNROLLED = 6
+
+
 def _oracle() -> str:
     z2 = f"({Z} * {Z})"
     m = "greatest(good + bad, 1.0)"
@@ -108,9 +116,9 @@ WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, str
 hp AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
 pg AS (SELECT *, {case(lambda r: r[1] + r[2])} AS rule, {case(lambda r: r[0])} AS said FROM hp),
 p0 AS (SELECT host, path, count(*) AS n, count(*) FILTER (WHERE said = 'allow') AS good, count(*) FILTER (WHERE said = 'block') AS bad, '' AS template,
-  CASE WHEN len(string_split(path, '/')) > {LEVELS + 1} THEN string_split(path, '/')[2:{LEVELS}] || [array_to_string(string_split(path, '/')[{LEVELS + 1}:], '/')] ELSE string_split(path, '/')[2:] END AS segs
+  string_split(path, '/')[2:] AS segs
   FROM pg GROUP BY host, path)"""
-    for i in range(LEVELS):
+    for i in range(_UNROLLED):
         sql += f""",
 c{i} AS (SELECT host, template, segs[{i + 1}] AS seg, sum(n) AS n, sum(good) AS good, sum(bad) AS bad FROM p{i} WHERE len(segs) > {i} GROUP BY ALL),
 k{i} AS (SELECT *, CASE WHEN n < {SUPPORT} OR regexp_matches(seg, '[0-9]') THEN '*' ELSE seg END AS branch FROM c{i}),
@@ -121,8 +129,8 @@ p{i + 1} AS (SELECT p.host, p.path, n, good, bad, p.template || coalesce('/' ||
     return (
         sql
         + f""",
-v AS (SELECT host, template, CASE WHEN (sum(good) + {SMOOTHING / 2}) / (sum(good) + sum(bad) + {SMOOTHING}) < {REJECT_BELOW} THEN 'block' ELSE 'allow' END AS verdict FROM p{LEVELS} GROUP BY ALL)
-SELECT page_id, pg.host, pg.path, rule, coalesce(said, verdict) AS verdict, p{LEVELS}.template FROM pg JOIN p{LEVELS} ON pg.host = p{LEVELS}.host AND pg.path = p{LEVELS}.path JOIN v ON v.host = pg.host AND v.template = p{LEVELS}.template
+v AS (SELECT host, template, CASE WHEN (sum(good) + {SMOOTHING / 2}) / (sum(good) + sum(bad) + {SMOOTHING}) < {REJECT_BELOW} THEN 'block' ELSE 'allow' END AS verdict FROM p{_UNROLLED} GROUP BY ALL)
+SELECT page_id, pg.host, pg.path, rule, coalesce(said, verdict) AS verdict, p{_UNROLLED}.template FROM pg JOIN p{_UNROLLED} ON pg.host = p{_UNROLLED}.host AND pg.path = p{_UNROLLED}.path JOIN v ON v.host = pg.host AND v.template = p{_UNROLLED}.template
 """
     )
 

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import zlib
 from collections import defaultdict
+from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
@@ -255,6 +257,21 @@ def test_pruning_skips_blocks():
     assert block_topk.search(rows[:1], np.array([0]), rows, np.arange(640), 20, 64)[2] < 10
 
 
+def test_topk_scores_every_finite_vector(spark):
+    """Components beyond 2**22 and scores beyond a long, against plain integers."""
+    rng = random.Random(9)
+    rows = [(i, [rng.choice((-1, 1)) * rng.random() * 10.0 ** rng.choice((0, 1, 7, 12, 25)) for _ in range(4)]) for i in range(120)]
+    rows += [(900, [None, 1.0, 1.0, 1.0]), (901, [float("nan")] * 4), (902, [float("inf")] * 4), (903, None), (904, [5e6, 0.0, 0.0, 0.0])]
+    v = block_topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in block_topk.top_k(v.where("vec_id % 20 = 0 OR vec_id = 904"), v, 20).orderBy("query_id", "rank").collect()]
+    whole = {i: [math.floor(Fraction(x) * 64) for x in e] for i, e in rows if e and all(x is not None and math.isfinite(x) for x in e)}
+    want = []
+    for q in sorted(i for i in whole if i % 20 == 0 or i == 904):
+        scores = sorted((-sum(x * y for x, y in zip(whole[q], whole[i])), i) for i in whole if i != q)[:20]
+        want += [(q, k + 1, i, min(max(-s, -(2**63)), 2**63 - 1)) for k, (s, i) in enumerate(scores)]
+    assert got == want
+
+
 # 7
 
 
@@ -353,6 +370,14 @@ def test_templates_merge_and_reject(spark):
     assert {t for _, t, _ in said} == {"/*-/*", "/en/*"}
 
 
+def test_templates_reach_the_last_segment(spark):
+    deep = "/a/b/c/d/e/f/"
+    rows = [("h.net", f"{deep}x/{i}", 0) for i in range(20)] + [("h.net", f"{deep}y/{i}", 1) for i in range(20)] + [("h.net", "/a", None), ("h.net", "", None), ("", "", None)]
+    out = url_templates.judged(url_templates.templates(spark.createDataFrame(rows, "host string, path string, label int"))).collect()
+    assert len(out) == len(rows)
+    assert {(r["path"].split("/")[7], r["verdict"]) for r in out if r["path"].startswith(deep)} == {("x", "block"), ("y", "allow")}
+
+
 def test_longest_rule_wins(spark):
     host, path = url_templates.host_and_path(F.col("url"))
     urls = ["http://A.Example.com/en/1?x", "https://www.example.com/en/2", "http://x.com/", "http://x.com", "http://notexample.com/en/", "nothing", None, "http://b.net/fr/#y"]
