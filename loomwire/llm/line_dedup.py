@@ -37,8 +37,8 @@ LEAST = 40
 LEFT = 0.2
 #: Distinct lines whose index rows a task remembers; beyond it a line may be indexed again, to no effect.
 REMEMBERED = 500_000
-#: Kinds of letters that are counted, each in four bits.
-LETTERS = 16
+#: Kinds of letters that are counted, each modulo 8 in three bits.
+LETTERS = 21
 _KINDS = bytes(b % LETTERS for b in range(256))
 
 
@@ -93,7 +93,7 @@ def plan(length: int, edits: int, probe: bool) -> list[tuple[int, int, int]]:
 def indexed(lines: DataFrame, edits: int, probe: bool) -> DataFrame:
     """key, t and bag (counts of letters): the index rows, or the probing rows, of lines (t, line)."""
     names = ["key", "t", "bag"]
-    shifts = np.arange(0, 4 * LETTERS, 4, dtype=np.uint64)
+    shifts = np.arange(0, 3 * LETTERS, 3, dtype=np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_64_intdigest as digest
@@ -104,7 +104,8 @@ def indexed(lines: DataFrame, edits: int, probe: bool) -> DataFrame:
         def rows(keys: list[int], ts: list[int], counts: list[int], letters: list[bytes]) -> pa.RecordBatch:
             at = np.repeat(np.arange(len(ts)) * LETTERS, [len(x) for x in letters])
             bags = np.bincount(at + np.frombuffer(b"".join(letters), np.uint8), minlength=len(ts) * LETTERS).reshape(-1, LETTERS).astype(np.uint64)
-            bags = ((bags & np.uint64(15)) << shifts).sum(axis=1, dtype=np.uint64).view(np.int64)
+            bags &= np.uint64(7)
+            bags = ((bags ^ bags >> np.uint64(1)) << shifts).sum(axis=1, dtype=np.uint64).view(np.int64)
             return pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(np.repeat(np.array(ts, np.int64), counts)), pa.array(np.repeat(bags, counts))], names)
 
         for batch in batches:
@@ -141,12 +142,8 @@ def indexed(lines: DataFrame, edits: int, probe: bool) -> DataFrame:
 
 
 def _apart(x: Column, y: Column) -> Column:
-    """Sum of the differences of the counts, each a number modulo 16: at most 2 for each edit."""
-    out = F.lit(0).cast("long")
-    for i in range(LETTERS):
-        gap = F.abs(F.shiftrightunsigned(x, 4 * i).bitwiseAND(F.lit(15)) - F.shiftrightunsigned(y, 4 * i).bitwiseAND(F.lit(15)))
-        out = out + F.least(gap, 16 - gap)
-    return out
+    """Differing bits of the counts, in Gray code: a letter more or less is one bit, so at most 2 for each edit."""
+    return F.bit_count(x.bitwiseXOR(y))
 
 
 def candidates(lines: DataFrame, edits: int) -> DataFrame:

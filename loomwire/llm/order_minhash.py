@@ -268,8 +268,8 @@ def roots(items: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) ->
         discard(used, fetched)
         return out
 
-    # digests are spread evenly: the first 60 bits, in the order of the digests, stand for a text in counts and keys
-    rows = items.select("t", F.conv(F.substring("t", 1, 15), 16, 10).cast("long").alias("h"), "n", "p", F.explode("s").alias("key"))
+    # digests are spread evenly: the first 28 bits, in the order of the digests, tell a bucket's least text but for a few
+    rows = items.select("t", F.conv(F.substring("t", 1, 7), 16, 10).cast("int").alias("h"), "n", "p", F.explode("s").alias("key"))
     buckets = stored(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("h").alias("leader")).where("size > 1"))
     members = stored(rows.join(F.broadcast(buckets) if few(buckets) else buckets, "key"))
     discard(buckets)
@@ -282,10 +282,10 @@ def roots(items: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) ->
 
     def mixed(known: DataFrame) -> DataFrame:
         """The rows of the buckets that hold more than one class, with their classes' roots."""
-        now = members.drop("h", "leader").join(known.select(F.col("node").alias("t"), "root"), "t", "left").withColumn("root", F.coalesce("root", "t"))
-        now = stored(now)
+        now = members.select("key", "t", "size").join(known.select(F.col("node").alias("t"), "root"), "t", "left")
+        now = stored(now.select("key", "t", "size", F.coalesce("root", "t").alias("root")))
         keys = now.groupBy("key").agg(F.min(F.xxhash64("root")).alias("lo"), F.max(F.xxhash64("root")).alias("hi")).where("lo <> hi").select("key")
-        out = stored(now.join(keys, "key"))
+        out = stored(now.join(keys, "key").join(items.select("t", "n", "p"), "t"))
         discard(now)
         return out
 
@@ -326,9 +326,11 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, t, class_id (least doc_id), class_rows and class_texts of every row of docs (doc_id, text)."""
     rows = stored(sketched(docs, similarity))
     items = stored(rows.groupBy("t").agg(F.first("n").alias("n"), F.first("s").alias("s"), F.first("p").alias("p")))
+    slim = stored(rows.select("doc_id", "t"))
+    discard(rows)
     texts = docs.select(F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("t"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     found = roots(items, texts, similarity)
-    slim = rows.select("doc_id", "t")
+    discard(items)
     # both sides of the last join are read from files: adaptive execution can then split a class that holds most rows
     named = stored(slim.join(found, slim.t == found.node, "left").select("doc_id", "t", F.coalesce("root", "t").alias("root")))
     by = named.groupBy("root", "t").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).groupBy("root").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_rows"), F.count(F.lit(1)).alias("class_texts"))
