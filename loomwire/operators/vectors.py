@@ -36,16 +36,18 @@ def medoids(rows: DataFrame, centroid: DataFrame, key: str = "cluster_id") -> Da
     return near.groupBy(key).agg(F.max_by("event_id", F.struct("similarity", -F.col("event_id"))).alias("event_id"), F.max("similarity").alias("similarity"))
 
 
-def nearest(queries: DataFrame, rows: DataFrame, k: int, block: int = BLOCK, digits: int = 9) -> DataFrame:
+def nearest(queries: DataFrame, rows: DataFrame, k: int, block: int = BLOCK, digits: int = 9, before: int | None = None) -> DataFrame:
     """query_id, place, id, similarity: each query's k rows of highest cosine, other ids only; ties to smaller ids.
 
     Queries (query_id, v) and rows (id, v) are dealt into blocks of bounded size; a task multiplies one block of each
-    and keeps its k best, which Spark merges by window.
+    and keeps its k best, which Spark merges by window. With `before`, both have `at` (seconds), and a query's rows are
+    those of the so many seconds before it.
     """
+    at = ["at"] if before else []
     qn, rn = max(1, -(-queries.count() // block)), max(1, -(-rows.count() // block))
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.select("query_id", F.col("v").alias("x"), F.pmod(F.xxhash64("query_id"), F.lit(qn)).cast("int").alias("p"), spread(rn).alias("r"))
-    right = rows.select("id", F.col("v").alias("y"), F.pmod(F.xxhash64("id"), F.lit(rn)).cast("int").alias("r"), spread(qn).alias("p"))
+    left = queries.select("query_id", *at, F.col("v").alias("x"), F.pmod(F.xxhash64("query_id"), F.lit(qn)).cast("int").alias("p"), spread(rn).alias("r"))
+    right = rows.select("id", *at, F.col("v").alias("y"), F.pmod(F.xxhash64("id"), F.lit(rn)).cast("int").alias("r"), spread(qn).alias("p"))
 
     def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
@@ -55,6 +57,9 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, block: int = BLOCK, dig
         q, ids = a["query_id"].to_numpy(), b["id"].to_numpy()
         s = np.round(x @ y.T, digits)
         s = np.where(q[:, None] == ids[None, :], -np.inf, s)
+        if before:
+            ago = a["at"].to_numpy()[:, None] - b["at"].to_numpy()[None, :]
+            s = np.where((ago > 0) & (ago <= before), s, -np.inf)
         top = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
         out = pd.DataFrame({"query_id": np.repeat(q, top.shape[1]), "id": ids[top].ravel(), "similarity": np.take_along_axis(s, top, 1).ravel()})
         return out[np.isfinite(out["similarity"])]
