@@ -17,18 +17,18 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """
 
     def mark(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("low", "high").cast("decimal(38,0)"))).first())
 
-    ends = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
-    edges = stored(edges.select(*ends).where(F.col("a") != F.col("b")).distinct())
+    edges = stored(edges.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).distinct())
     seen = mark(edges)
     for _ in range(rounds):
-        both = edges.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e")).select("e.*")
+        both = edges.select(F.col("low").alias("u"), F.col("high").alias("v")).unionByName(edges.select(F.col("high").alias("u"), F.col("low").alias("v")))
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = edges.withColumnRenamed("a", "u").join(least, "u").select(F.col("m").alias("a"), "b").where(F.col("a") != F.col("b"))
-        least = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(least, "b").select(F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("b").alias("b")), F.struct(F.col("m").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*")
-        done, edges = edges, stored(small.where(F.col("a") != F.col("b")).distinct())
+        large = edges.withColumnRenamed("low", "u").join(least, "u").select(F.col("m").alias("low"), "high").where(F.col("low") != F.col("high"))
+        least = large.groupBy("high").agg(F.min("low").alias("m"))
+        small = large.join(least, "high")
+        small = small.select(F.col("m").alias("low"), "high").unionByName(small.select(F.col("m").alias("low"), F.col("low").alias("high")))
+        done, edges = edges, stored(small.where(F.col("low") != F.col("high")).distinct())
         discard(done)
         now = mark(edges)
         if now == seen:
@@ -36,6 +36,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         seen = now
     else:
         raise RuntimeError("components did not settle")
-    out = stored(edges.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct()))
+    out = stored(edges.select(F.col("high").alias("node"), F.col("low").alias("root")).unionByName(edges.select(F.col("low").alias("node"), F.col("low").alias("root")).distinct()))
     discard(edges)
     return out
