@@ -262,7 +262,7 @@ def roots(items: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) ->
 
     def verified(edges: DataFrame) -> DataFrame:
         """The similar ones of stored edges (a, b)."""
-        used = stored(edges.select(F.explode(F.array("a", "b")).alias("t")).distinct())
+        used = stored(edges.select(F.col("a").alias("t")).unionByName(edges.select(F.col("b").alias("t"))).distinct())
         fetched = stored(texts(used))
         out = stored(similar(edges, fetched, similarity))
         discard(used, fetched)
@@ -280,17 +280,19 @@ def roots(items: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) ->
     found = verified(asked)
     known = components(found)
 
-    def mixed(known: DataFrame) -> DataFrame:
-        """The rows of the buckets that hold more than one class, with their classes' roots."""
-        now = members.select("key", "t", "size").join(known.select(F.col("node").alias("t"), "root"), "t", "left")
-        now = stored(now.select("key", "t", "size", F.coalesce("root", "t").alias("root")))
+    def mixed(rows: DataFrame, known: DataFrame) -> DataFrame:
+        """The rows (key, t, ..) of the buckets that hold more than one class, with their classes' roots."""
+        now = rows.join(known.select(F.col("node").alias("t"), F.col("root").alias("to")), "t", "left").withColumn("root", F.coalesce("to", "t")).drop("to")
+        now = stored(now)
         keys = now.groupBy("key").agg(F.min(F.xxhash64("root")).alias("lo"), F.max(F.xxhash64("root")).alias("hi")).where("lo <> hi").select("key")
-        out = stored(now.join(keys, "key").join(items.select("t", "n", "p"), "t"))
+        out = stored(now.join(keys, "key"))
         discard(now)
         return out
 
     # in large buckets every text outside the largest class meets some of that class, so that drifted copies join it
-    left = mixed(known)
+    shared = mixed(members.select("key", "t", "size"), known)
+    left = stored(shared.join(items.select("t", "n", "p"), "t"))
+    discard(shared, members)
     large = left.where(F.col("size") > SMALL)
     main = large.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max(F.struct("c", "root")).alias("_m")).select("key", F.col("_m.root").alias("main"))
     large = stored(large.join(main, "key"))
@@ -299,11 +301,11 @@ def roots(items: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) ->
     met = large.where("root <> main").join(some, "key").where(_may_be_similar("n", "m", "p", "q", similarity))
     met = stored(met.select(F.least("t", "u").alias("a"), F.greatest("t", "u").alias("b")).distinct().join(asked, ["a", "b"], "left_anti"))
     more = verified(met)
-    discard(left, large, known)
-    asked, found = asked.unionByName(met), found.unionByName(more)
-    known = components(found)
-    left = mixed(known)
-    discard(members, known)
+    asked, before = asked.unionByName(met), known
+    known = components(before.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(more))
+    discard(large, found, before, more)
+    before, left = left, mixed(left.drop("root"), known)
+    discard(before)
 
     x, y = left.where(F.col("size") <= SMALL), left.where(F.col("size") <= SMALL).select("key", F.col("t").alias("u"), F.col("n").alias("m"), F.col("p").alias("q"), F.col("root").alias("v"))
     near = x.join(y, "key").where((F.col("t") < F.col("u")) & (F.col("root") != F.col("v")) & _may_be_similar("n", "m", "p", "q", similarity))
@@ -311,14 +313,14 @@ def roots(items: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) ->
 
     large = stored(left.where(F.col("size") > SMALL).groupBy("t").agg(*[F.first(c).alias(c) for c in ("n", "p", "root")]))
     every = rare_words(large, texts(large.select("t")), similarity)
-    shared = every.groupBy("g").agg(F.min(F.xxhash64("root")).alias("lo"), F.max(F.xxhash64("root")).alias("hi")).where("lo <> hi").select("g")
-    rare = stored(every.join(shared, "g"))
+    same = Window.partitionBy("g")
+    rare = stored(every.withColumn("lo", F.min(F.xxhash64("root")).over(same)).withColumn("hi", F.max(F.xxhash64("root")).over(same)).where("lo <> hi").drop("lo", "hi"))
     other = rare.select("g", F.col("before").alias("other"), F.col("t").alias("u"), F.col("n").alias("m"), F.col("p").alias("q"), F.col("root").alias("v"))
     met = rare.join(other, "g").where((F.col("t") < F.col("u")) & (F.col("root") != F.col("v")) & _may_be_similar("n", "m", "p", "q", similarity) & ~F.arrays_overlap("before", "other"))
     met = met.select(F.col("t").alias("a"), F.col("u").alias("b"))
     rest = stored(pairs.unionByName(met).distinct().join(asked, ["a", "b"], "left_anti"))
-    out = components(found.unionByName(verified(rest)))
-    discard(left, pairs, large, every, rare, rest)
+    out = components(known.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(verified(rest)))
+    discard(known, left, pairs, large, every, rare, rest)
     return out
 
 
