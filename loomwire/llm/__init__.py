@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 def registered() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
     """Each operator's query and, where SQL can express it, the equivalent SQL."""
-    from loomwire.llm import anchor_codes, block_topk, bpe_prefix, chat_format, decontaminate, harmonic_packing, jump_sharding, license_digest, line_dedup, order_minhash, rule_quality, url_templates
+    from loomwire.llm import anchor_codes, block_topk, bpe_prefix, chat_format, decontaminate, harmonic_packing, jump_sharding, license_digest, line_dedup, order_minhash, prefix_trie, rule_quality, url_templates
 
     modules = {
         "op1_chat_format": chat_format,
@@ -23,6 +23,7 @@ def registered() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], st
         "op9_rule_quality": rule_quality,
         "op10_license_digest": license_digest,
         "op11_anchor_codes": anchor_codes,
+        "op12_prefix_trie": prefix_trie,
         "op13_bpe_prefix": bpe_prefix,
     }
     return {name: (m.query, m.ORACLE) for name, m in modules.items()}

@@ -55,7 +55,7 @@ def lines(text):
 
 EXPECTED = {
     "op1_chat_format": 4, "op2_line_dedup": sum(len(lines(r[1])) for r in DOCS), "op4_jump_sharding": len(DOCS), "op5_decontaminate": len(DOCS), "op7_order_minhash": len(DOCS), "op8_url_templates": len(ROWS["pages"]),
-    "op9_rule_quality": len(DOCS), "op10_license_digest": len(DOCS),
+    "op9_rule_quality": len(DOCS), "op10_license_digest": len(DOCS), "op11_anchor_codes": 50, "op13_bpe_prefix": len(DOCS),
 }
 
 
