@@ -60,6 +60,23 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("event_id"), F.col("embedding").cast("array<double>").alias("v"), F.col("label").alias("cluster_id"), spread("vec_id").alias("created_at"))
 
 
+def run_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a clustering run leaves them: of ten, one is noise, four are in a user's cluster, five are a cluster of their own."""
+    e = events(spark, sf_dir)
+    place = F.col("event_id") % 10
+    own = F.when(place == 0, None).when(place >= 5, -1 - F.col("small_id")).otherwise(F.col("cluster_id"))
+    return e.withColumn("cluster_id", own).withColumn("categories", F.when(F.col("event_id") % 13 != 0, F.array("category")).otherwise(F.array().cast("array<string>"))).withColumn("incomplete", F.col("event_id") % 11 == 0)
+
+
+def run_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A vector for each event, but for one in seven; a vector that is used again is turned by a place."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    n = max(v.count(), 1)
+    turn = F.pmod(F.floor(F.col("event_id") / n), F.greatest(F.size("v"), F.lit(1))).cast("int")
+    turned = F.concat(F.slice("v", turn + 1, F.size("v")), F.slice("v", F.lit(1), turn))
+    return events(spark, sf_dir).where("event_id % 7 <> 3").select("event_id", (F.col("event_id") % n).alias("vec_id")).join(v, "vec_id").select("event_id", turned.alias("v"))
+
+
 def dispatches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("dispatch_id"), F.col("o_custkey").alias("ref_id"), F.col("o_orderdate").cast("timestamp").alias("created_at"), F.col("o_orderpriority").alias("signal_type"), F.col("o_orderstatus").alias("status"))
 
@@ -85,6 +102,8 @@ CTES = {
     "(event_id % 10 + 1) / 10.0 AS credibility, event_id // 5 AS small_id, " + ", ".join(f"(event_id * {p} % 101) / 10.0 AS {d}" for d, p in PRIMES.items()) + " FROM events)",
     "cl": "cl AS (SELECT cluster_id, min(created_at) AS first_seen, max(created_at) AS last_seen, count(*) AS event_count FROM ev WHERE cluster_id IS NOT NULL GROUP BY cluster_id)",
     "vec": f"vec AS (SELECT vec_id AS event_id, embedding::DOUBLE[] AS v, label AS cluster_id, TIMESTAMP '2024-01-01' + to_seconds(vec_id * {SPREAD} % {SPAN_S}) AS created_at FROM embeddings)",
+    "rev": "rev AS (SELECT * REPLACE (CASE WHEN event_id % 10 = 0 THEN NULL WHEN event_id % 10 >= 5 THEN -1 - small_id ELSE cluster_id END AS cluster_id), CASE WHEN event_id % 13 <> 0 THEN [category] ELSE [] END AS categories, event_id % 11 = 0 AS incomplete FROM ev)",
+    "rvec": "rvec AS (SELECT event_id, (embedding[event_id // n % 64 + 1 :] || embedding[1 : event_id // n % 64])::DOUBLE[] AS v FROM events, (SELECT count(*) AS n FROM embeddings) JOIN embeddings ON vec_id = event_id % n WHERE event_id % 7 <> 3)",
     "dis": "dis AS (SELECT o_orderkey AS dispatch_id, o_custkey AS ref_id, o_orderdate AS created_at, o_orderpriority AS signal_type, o_orderstatus AS status FROM orders)",
     "ver": f"ver AS (SELECT doc_id AS dispatch_id, CASE WHEN toxic = 1 THEN 'off_topic' WHEN quality = 1 THEN 'true_signal' WHEN quality = 0 THEN 'false_signal' END AS verdict, TIMESTAMP '2024-01-01' + to_seconds(doc_id * {SPREAD} % {SPAN_S}) AS received_at FROM labels)",
     "ent": "ent AS (SELECT p_partkey AS entity_id, p_name AS name, list_distinct([p_brand] || string_split(p_type, ' ')) AS aliases, p_size AS size FROM part)",

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -20,14 +22,14 @@ def dot(a: Column, b: Column) -> Column:
 
 def unit(v: Column) -> Column:
     norm = F.greatest(F.sqrt(dot(v, v)), F.lit(1e-12))
-    return F.transform(v, lambda x: x / norm)
+    # inside a lambda the norm would be computed again for each component
+    return F.zip_with(v, F.array_repeat(norm, F.size(v)), lambda x, n: x / n)
 
 
 def centroids(rows: DataFrame, key: str = "cluster_id") -> DataFrame:
-    """The unit mean of each cluster's unit vectors: averaged by position, so it reduces before the shuffle."""
-    parts = rows.where(F.col(key).isNotNull()).select(key, F.posexplode(unit(F.col("v"))).alias("i", "x"))
-    mean = parts.groupBy(key, "i").agg(F.avg("x").alias("x")).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("_p"))
-    return mean.select(key, unit(F.transform("_p", lambda p: p["x"])).alias("centroid"))
+    """The unit mean of each cluster's unit vectors: whole vectors are summed before the shuffle, one a cluster and task."""
+    mean = rows.where(F.col(key).isNotNull()).select(key, array_to_vector(unit(F.col("v"))).alias("_u")).groupBy(key).agg(Summarizer.mean(F.col("_u")).alias("_m"))
+    return mean.select(key, unit(vector_to_array("_m")).alias("centroid"))
 
 
 def medoids(rows: DataFrame, centroid: DataFrame, key: str = "cluster_id") -> DataFrame:
@@ -60,9 +62,11 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, block: int = BLOCK, dig
         if before:
             ago = a["at"].to_numpy()[:, None] - b["at"].to_numpy()[None, :]
             s = np.where((ago > 0) & (ago <= before), s, -np.inf)
-        top = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
-        out = pd.DataFrame({"query_id": np.repeat(q, top.shape[1]), "id": ids[top].ravel(), "similarity": np.take_along_axis(s, top, 1).ravel()})
-        return out[np.isfinite(out["similarity"])]
+        # rows at or above the kth score, ties and all; only these are put in order
+        least = np.partition(s, -k, axis=1)[:, -k] if k < s.shape[1] else np.full(len(s), -np.inf)
+        at, which = np.nonzero((s >= least[:, None]) & np.isfinite(s))
+        out = pd.DataFrame({"query_id": q[at], "id": ids[which], "similarity": s[at, which]}).iloc[np.lexsort((ids[which], -s[at, which], at))]
+        return out[out.groupby("query_id", sort=False).cumcount() < k]
 
     found = left.groupBy("p", "r").cogroup(right.groupBy("p", "r")).applyInPandas(best, "query_id long, id long, similarity double")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))

@@ -192,30 +192,6 @@ def noise_candidates(spark: SparkSession, d: str) -> DataFrame:
     return M.events(spark, d).where(F.col("cluster_id").isNull() & (F.col("created_at") >= since)).select("event_id", "category")
 
 
-_W = P.weak_weights
-
-
-@query(
-    _recursive(
-        sql(
-            "asof ev",
-            f"SELECT sid, {_round('burst')} AS burst, {_round(f'({_W[0]} * nov + {_W[1]} * 0.0 + {_W[2]} * burst) * mean_credibility')} AS combined FROM emg WHERE burst > 0 AND ({_W[0]} * nov + {_W[1]} * 0.0 + {_W[2]} * burst) * mean_credibility >= {P.weak_threshold} AND sid NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O')",
-            _CAND + f", emg AS (SELECT sc.sid, mean_credibility, coalesce(burst, 0.0) AS burst, (SELECT 1 - min(n) / (SELECT sum(n) FROM ct) FROM ct WHERE list_contains(string_split(sc.categories, ','), ct.category)) AS nov FROM sc LEFT JOIN bu USING (sid) WHERE sid IN (SELECT sid FROM sm GROUP BY sid HAVING count(*) <= {P.small_cluster}))",
-        )
-    )
-)
-def weak_signals_emerging(spark: SparkSession, d: str) -> DataFrame:
-    """The emerging small clusters without an open signal; rarity stands for novelty, and isolation is 0, as where it is not computed."""
-    ev = _small_events(spark, d)
-    cand = weak.small_clusters(ev, "sid", M.as_of(spark, d))
-    rare = weak.rarity(weak.category_counts(ev), ev.count())
-    most = cand.select("sid", F.explode("categories").alias("category")).join(rare, "category", "left").groupBy("sid").agg(F.max(F.coalesce("rarity", F.lit(1.0))).alias("nov"))
-    cand = cand.join(most, "sid", "left").withColumn("burst", F.coalesce(weak.burst(F.col("daily")), F.lit(0.0)))
-    cand = cand.withColumn("combined", weak.combined(F.coalesce("nov", F.lit(1.0)), F.lit(0.0), F.col("burst"), F.col("mean_credibility"))).withColumnRenamed("sid", "ref")
-    out = weak.emerging(cand, M.dispatches(spark, d).where("status = 'O'").select(F.col("dispatch_id").alias("ref")))
-    return rounded(out, ["burst", "combined"]).select(F.col("ref").alias("sid"), "burst", "combined")
-
-
 # Vectors
 
 _UNIT = "u AS (SELECT event_id, cluster_id, list_transform(v, lambda x: x / greatest(sqrt(list_inner_product(v, v)), 1e-12)) AS u FROM vec)"
