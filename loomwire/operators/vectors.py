@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomwire.operators.graph import components
-from loomwire.storage import discard, stored
 
 BLOCK = 4096
 
@@ -78,24 +77,6 @@ def novelty(similar: DataFrame) -> DataFrame:
     return similar.where("place = 1").select("query_id", (1 - F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("similarity")))).alias("novelty"))
 
 
-def greedy_matches(pairs: DataFrame, floor: float) -> DataFrame:
-    """One-to-one matches (new_id, old_id), best first: rounds of mutual bests until no pair is left.
-
-    Two rows that are each other's best are exactly those that a greedy pass from the top would take, so the rounds give
-    its result without a serial scan. Each round takes one pair at least, the best of all, and most of them many.
-    """
-    left = stored(pairs.where(F.col("similarity") >= floor))
-    taken = left.sparkSession.createDataFrame([], left.select("new_id", "old_id", "similarity").schema)
-    while not left.isEmpty():
-        order = lambda k: Window.partitionBy(k).orderBy(F.desc("similarity"), "new_id", "old_id")
-        best = left.withColumn("_n", F.row_number().over(order("new_id"))).withColumn("_o", F.row_number().over(order("old_id")))
-        now = stored(best.where("_n = 1 AND _o = 1").select("new_id", "old_id", "similarity"))
-        taken = taken.unionByName(now)
-        before, left = left, stored(left.join(now.select("new_id"), "new_id", "left_anti").join(now.select("old_id"), "old_id", "left_anti"))
-        discard(before)
-    return taken
-
-
 def density_clusters(rows: DataFrame, near: DataFrame, least: int, weight: float, reach: float) -> DataFrame:
     """event_id and root of the events in dense groups of at least `least`, over the graph of nearest neighbours.
 

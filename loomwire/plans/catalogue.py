@@ -241,16 +241,6 @@ def density_clusters(spark: SparkSession, d: str) -> DataFrame:
     return vectors.density_clusters(v.select("event_id", "created_at"), near, P.min_cluster, P.temporal_weight, 1.0)
 
 
-@query()
-def centroid_match_greedy(spark: SparkSession, d: str) -> DataFrame:
-    """New centroids (of even ids) matched one to one with old ones (of odd ids)."""
-    v = M.vectors(spark, d)
-    old, new = vectors.centroids(v.where("event_id % 2 = 1")), vectors.centroids(v.where("event_id % 2 = 0"))
-    pairs = vectors.nearest(new.select((-1 - F.col("cluster_id")).cast("long").alias("query_id"), F.col("centroid").alias("v")), old.select(F.col("cluster_id").cast("long").alias("id"), F.col("centroid").alias("v")), 5)
-    pairs = pairs.select((-1 - F.col("query_id")).alias("new_id"), F.col("id").alias("old_id"), "similarity")
-    return vectors.greedy_matches(pairs, P.match_centroid)
-
-
 # Duplicates
 
 _NORM = "trim(lower(regexp_replace(coalesce({}, ''), '\\s+', ' ', 'g')))"

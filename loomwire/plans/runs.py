@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from loomwire import model as M
 from loomwire.model import sql
-from loomwire.operators import merge, vectors, weak
+from loomwire.operators import merge, snapshot, vectors, weak
 from loomwire.params import DEFAULTS as P
-from loomwire.plans.catalogue import _DAYS, _recursive, _round, query, rounded
+from loomwire.plans.catalogue import _DAYS, _recursive, _round, _stamp, query, rounded, stamp
 from loomwire.storage import stored
 
 # Weak signals
@@ -98,3 +98,88 @@ def weak_signals_full(spark: SparkSession, d: str) -> DataFrame:
     """Every candidate with its three scores, their combination, and what becomes of it."""
     out, _ = weak.detect(stored(_scored(spark, d)), _open_refs(spark, d))
     return out.select("kind", "ref", *weak.FEATURES, "novelty", "isolation", "burst", "combined", "emerging", "detected", "already_open")
+
+
+# Stable clusters
+
+
+def _fine(which: str) -> str:
+    """SQL of the unit centroids of eight clusters in each label, over the vectors that `which` lets through."""
+    return f"""u_{which[0]} AS (SELECT cluster_id * 8 + event_id % 8 AS c, list_transform(v, lambda x: x / greatest(sqrt(list_inner_product(v, v)), 1e-12)) AS u FROM vec WHERE {which[1]}),
+c_{which[0]} AS (SELECT c, list_transform(m, lambda x: x / greatest(sqrt(list_inner_product(m, m)), 1e-12)) AS m FROM (SELECT c, list(x ORDER BY i) AS m FROM (SELECT c, i, avg(u[i]) AS x FROM u_{which[0]}, range(1, 65) r(i) GROUP BY ALL) GROUP BY c))"""
+
+
+@query(
+    _recursive(
+        sql(
+            "vec",
+            f"SELECT new_id, old_id, {_round('s')} AS similarity FROM g WHERE step > 0",
+            f"""{_fine(("n", "true"))}, {_fine(("o", "event_id % 10 <> 0"))},
+p AS MATERIALIZED (SELECT * FROM (SELECT n.c AS new_id, o.c AS old_id, round(list_inner_product(n.m, o.m), 9) AS s FROM c_n n, c_o o) WHERE s >= {P.match_centroid}),
+g AS (
+  SELECT 0 AS step, []::BIGINT[] AS ns, []::BIGINT[] AS os, NULL::BIGINT AS new_id, NULL::BIGINT AS old_id, NULL::DOUBLE AS s
+  UNION ALL
+  SELECT * FROM (SELECT step + 1, list_append(ns, p.new_id), list_append(os, p.old_id), p.new_id, p.old_id, p.s FROM g, p WHERE NOT list_contains(ns, p.new_id) AND NOT list_contains(os, p.old_id) ORDER BY p.s DESC, p.new_id, p.old_id LIMIT 1)
+)""",
+        )
+    )
+)
+def centroid_match_greedy(spark: SparkSession, d: str) -> DataFrame:
+    """Centroids of all vectors matched one to one with those of an earlier run, which lacked every tenth vector."""
+    v = M.vectors(spark, d).withColumn("cluster_id", F.col("cluster_id") * 8 + F.col("event_id") % 8)
+    side = lambda rows: vectors.centroids(rows).select(F.col("cluster_id").alias("id"), F.col("centroid").alias("v"))
+    return rounded(snapshot.match(side(v), side(v.where("event_id % 10 <> 0")), P.match_centroid), ["similarity"])
+
+
+#: A run over the events whose cluster was their user: two labels a user, but that every fifth user's events
+#: go to the one before, and one event in 23 isn't seen; a user's first label keeps the id, but for every third.
+_LABEL = "CASE WHEN event_id % 10 <> 0 AND event_id % 17 <> 0 THEN 2 * (user_id - CASE WHEN user_id % 5 = 4 THEN 1 ELSE 0 END) + (event_id % 10 >= 7)::INT END"
+_PERSIST = f"""o AS (SELECT event_id, user_id AS cluster_id, user_id, ts AS created_at, ts + to_hours(CAST(event_id % 5 AS INT)) AS occurred_at FROM events WHERE event_id % 19 <> 0 OR user_id % 5 <> 4),
+c AS (SELECT cluster_id, 'old ' || cluster_id AS label, min(created_at) AS first_seen, max(occurred_at) - to_days((cluster_id % 12)::INT) AS last_seen, count(*) AS event_count, CASE WHEN cluster_id % 7 = 0 THEN 'dormant' ELSE 'active' END AS status FROM o GROUP BY cluster_id),
+x AS (SELECT cluster_id + 1000000 AS cluster_id, label, first_seen, last_seen, event_count, status FROM c WHERE cluster_id % 4 = 0 UNION ALL SELECT * FROM c),
+m AS (SELECT event_id, {_LABEL} AS label, 'title ' || event_id AS title, created_at, occurred_at FROM o WHERE event_id % 23 <> 0),
+r AS (SELECT label, CASE WHEN label % 2 = 0 AND label % 3 <> 0 THEN label // 2 END AS old_id, min(created_at) AS f, max(occurred_at) AS l, count(*) AS n, arg_min(title, event_id) AS title, min(event_id) AS least FROM m WHERE label IS NOT NULL GROUP BY label)"""
+
+
+def _persisted(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    e = M.table(spark, d, "events").where("event_id % 19 <> 0 OR user_id % 5 <> 4")
+    at = F.col("ts").cast("timestamp")
+    events = e.select("event_id", F.col("user_id").alias("cluster_id"), at.alias("created_at"), F.timestamp_seconds(F.unix_timestamp(at) + (F.col("event_id") % 5) * 3600).alias("occurred_at"))
+    old = events.groupBy("cluster_id").agg(F.min("created_at").alias("first_seen"), F.max("occurred_at").alias("_l"), F.count(F.lit(1)).alias("event_count"))
+    old = old.select("cluster_id", F.concat(F.lit("old "), "cluster_id").alias("label"), "first_seen", F.timestamp_seconds(F.unix_timestamp("_l") - (F.col("cluster_id") % 12) * 86400).alias("last_seen"), "event_count", F.when(F.col("cluster_id") % 7 == 0, "dormant").otherwise("active").alias("status"))
+    old = old.unionByName(old.where("cluster_id % 4 = 0").withColumn("cluster_id", F.col("cluster_id") + 1_000_000))
+    user = F.col("user_id") - F.when(F.col("user_id") % 5 == 4, 1).otherwise(0)
+    label = F.when((F.col("event_id") % 10 != 0) & (F.col("event_id") % 17 != 0), 2 * user + (F.col("event_id") % 10 >= 7).cast("int"))
+    members = e.where("event_id % 23 <> 0").select("event_id", label.alias("label"), F.concat(F.lit("title "), "event_id").alias("title"))
+    matches = members.where("label % 2 = 0 AND label % 3 <> 0").select(F.col("label").alias("new_id"), F.expr("label div 2").alias("old_id")).distinct()
+    return snapshot.persisted(old, events, members, matches, M.as_of(spark, d))
+
+
+_AT_END = "(SELECT max(ts) FROM events)"
+
+
+@query(
+    sql(
+        "",
+        f"""SELECT CASE WHEN r.label IS NOT NULL AND r.old_id IS NULL THEN -1 ELSE coalesce(r.old_id, x.cluster_id) END AS cluster_id, coalesce(r.title, x.label) AS label, {_stamp('CASE WHEN r.label IS NULL THEN x.first_seen ELSE least(x.first_seen, r.f) END')} AS first_seen, {_stamp('CASE WHEN r.label IS NULL THEN x.last_seen ELSE greatest(x.last_seen, r.l) END')} AS last_seen,
+CASE WHEN r.label IS NOT NULL THEN r.n WHEN x.status = 'active' AND h.c IS NULL THEN 0 ELSE x.event_count END AS event_count,
+CASE WHEN r.label IS NOT NULL THEN 'active' WHEN x.status = 'active' AND (h.c IS NULL OR epoch(x.last_seen)::BIGINT < epoch({_AT_END})::BIGINT - {P.dormant_days * 86400}) THEN 'dormant' ELSE x.status END AS status
+FROM x FULL JOIN r ON r.old_id = x.cluster_id LEFT JOIN h ON h.c = x.cluster_id""",
+        _PERSIST + ", h AS (SELECT DISTINCT cluster_id AS c FROM o WHERE event_id % 23 = 0)",
+    )
+)
+def clusters_persisted(spark: SparkSession, d: str) -> DataFrame:
+    """The cluster table after a run: ids kept, new, dissolved and dormant ones (new ids, which are hashes, as -1)."""
+    clusters, _ = _persisted(spark, d)
+    return clusters.select(F.when(F.col("cluster_id") > 2_000_000, -1).otherwise(F.col("cluster_id")).alias("cluster_id"), "label", stamp("first_seen").alias("first_seen"), stamp("last_seen").alias("last_seen"), "event_count", "status")
+
+
+@query(sql("", "SELECT o.event_id, CASE WHEN m.event_id IS NULL THEN o.cluster_id WHEN r.label IS NOT NULL AND r.old_id IS NULL THEN -1 - r.label ELSE r.old_id END AS cluster_id FROM o LEFT JOIN m USING (event_id) LEFT JOIN r USING (label)", _PERSIST))
+def events_reassigned(spark: SparkSession, d: str) -> DataFrame:
+    """Events after a run: members follow their label, noise has no cluster (a new label l as -1 - l)."""
+    clusters, events = _persisted(spark, d)
+    fresh = clusters.where("cluster_id > 2000000").select("cluster_id", "label")
+    first = events.select("event_id", "cluster_id").join(fresh, "cluster_id", "left")
+    user = M.table(spark, d, "events").select("event_id", "user_id")
+    u = F.col("user_id") - F.when(F.col("user_id") % 5 == 4, 1).otherwise(0)
+    return first.join(user, "event_id").select("event_id", F.when(F.col("label").isNotNull(), -1 - (2 * u + (F.col("event_id") % 10 >= 7).cast("int"))).otherwise(F.col("cluster_id")).alias("cluster_id"))
