@@ -37,12 +37,12 @@ def medoids(rows: DataFrame, centroid: DataFrame, key: str = "cluster_id") -> Da
     return near.groupBy(key).agg(F.max_by("event_id", F.struct("similarity", -F.col("event_id"))).alias("event_id"), F.max("similarity").alias("similarity"))
 
 
-def nearest(queries: DataFrame, rows: DataFrame, k: int, block: int = BLOCK, digits: int = 9, before: int | None = None) -> DataFrame:
+def nearest(queries: DataFrame, rows: DataFrame, k: int, block: int = BLOCK, digits: int = 9, before: int | None = None, floor: float | None = None) -> DataFrame:
     """query_id, place, id, similarity: each query's k rows of highest cosine, other ids only; ties to smaller ids.
 
     Queries (query_id, v) and rows (id, v) are dealt into blocks of bounded size; a task multiplies one block of each
     and keeps its k best, which Spark merges by window. With `before`, both have `at` (seconds), and a query's rows are
-    those of the so many seconds before it.
+    those of the so many seconds before it. With `floor`, less similar rows are left out.
     """
     at = ["at"] if before else []
     qn, rn = max(1, -(-queries.count() // block)), max(1, -(-rows.count() // block))
@@ -61,6 +61,8 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, block: int = BLOCK, dig
         if before:
             ago = a["at"].to_numpy()[:, None] - b["at"].to_numpy()[None, :]
             s = np.where((ago > 0) & (ago <= before), s, -np.inf)
+        if floor is not None:
+            s = np.where(s >= floor, s, -np.inf)
         # rows at or above the kth score, ties and all; only these are put in order
         least = np.partition(s, -k, axis=1)[:, -k] if k < s.shape[1] else np.full(len(s), -np.inf)
         at, which = np.nonzero((s >= least[:, None]) & np.isfinite(s))
