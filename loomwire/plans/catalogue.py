@@ -746,5 +746,5 @@ def stream_tumbling_counts(spark: SparkSession, d: str) -> DataFrame:
 def stream_dedupe_url(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "pages")
     # a glob: a landed folder and a single file are streamed alike
-    rows = ingest.stream(spark, f"{d.rstrip('/')}/pages.parque[t]", p.schema).select(F.regexp_replace("url", "[?#].*$", "").alias("url"), F.lit("2024-01-01").cast("timestamp").alias("ts"))
+    rows = ingest.stream(spark, f"{d.rstrip('/')}/pages.parque[t]", p.schema).select(F.regexp_replace("url", "[?#].*$", "").alias("url"), M.spread("page_id").alias("ts"))
     return ingest.drained(spark, ingest.once_per(rows, "ts", "url"), "append").select("url")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,10 @@ from loomwire.model import sql
 from loomwire.operators import merge, snapshot, vectors, weak
 from loomwire.params import DEFAULTS as P
 from loomwire.plans.catalogue import _DAYS, _recursive, _round, _stamp, query, rounded, stamp
-from loomwire.storage import stored
+from loomwire.session import table
+from loomwire.sources import landed
+from loomwire.storage import new_folder, stored
+from loomwire.streaming import ingest, nearby
 
 # Weak signals
 
@@ -142,7 +146,7 @@ r AS (SELECT label, CASE WHEN label % 2 = 0 AND label % 3 <> 0 THEN label // 2 E
 
 
 def _persisted(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    e = M.table(spark, d, "events").where("event_id % 19 <> 0 OR user_id % 5 <> 4")
+    e = table(spark, d, "events").where("event_id % 19 <> 0 OR user_id % 5 <> 4")
     at = F.col("ts").cast("timestamp")
     events = e.select("event_id", F.col("user_id").alias("cluster_id"), at.alias("created_at"), F.timestamp_seconds(F.unix_timestamp(at) + (F.col("event_id") % 5) * 3600).alias("occurred_at"))
     old = events.groupBy("cluster_id").agg(F.min("created_at").alias("first_seen"), F.max("occurred_at").alias("_l"), F.count(F.lit(1)).alias("event_count"))
@@ -180,6 +184,67 @@ def events_reassigned(spark: SparkSession, d: str) -> DataFrame:
     clusters, events = _persisted(spark, d)
     fresh = clusters.where("cluster_id > 2000000").select("cluster_id", "label")
     first = events.select("event_id", "cluster_id").join(fresh, "cluster_id", "left")
-    user = M.table(spark, d, "events").select("event_id", "user_id")
+    user = table(spark, d, "events").select("event_id", "user_id")
     u = F.col("user_id") - F.when(F.col("user_id") % 5 == 4, 1).otherwise(0)
     return first.join(user, "event_id").select("event_id", F.when(F.col("label").isNotNull(), -1 - (2 * u + (F.col("event_id") % 10 >= 7).cast("int"))).otherwise(F.col("cluster_id")).alias("cluster_id"))
+
+
+# Streams
+
+
+def _arrivals(spark: SparkSession, d: str, rows: DataFrame) -> DataFrame:
+    """Documents as articles that have been extracted and embedded; some of either failed."""
+    v = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    n = max(v.count(), 1)
+    article = rows.where("doc_id >= 0").select(
+        F.col("doc_id").alias("article_id"), "source", F.col("text"), M.spread("doc_id").alias("created_at"), F.when(F.col("doc_id") % 31 != 7, F.concat(F.lit("report of "), F.char_length("text") % 3)).alias("summary"),
+        F.when(F.col("doc_id") % 5 == 0, M.start()).alias("event_time"), (F.col("doc_id") % n).alias("vec_id"),
+    )
+    return article.join(v.where("vec_id % 29 <> 3"), "vec_id", "left").drop("vec_id")
+
+
+@query()
+def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's way through the gate, duplicates, updates and new stories, as a stream leaves it."""
+    into = ingest.ledger(spark, new_folder(spark))
+    rows = ingest.stream(spark, f"{d.rstrip('/')}/documents.parque[t]", table(spark, d, "documents").schema)
+    sink = ingest.arriving(into, M.sources(spark, d))
+    run = rows.writeStream.option("checkpointLocation", f"{into.root}/checkpoint").trigger(availableNow=True).foreachBatch(lambda batch, n: sink(_arrivals(spark, d, batch), n)).start()
+    run.awaitTermination()
+    return into.table("articles")
+
+
+@query()
+def stream_near_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that agree with one fetched in the week before, from state that ends after that week."""
+    rows = ingest.stream(spark, f"{d.rstrip('/')}/documents.parque[t]", table(spark, d, "documents").schema)
+    found = nearby.near_duplicates(spark, rows.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("article_id"), "text", M.spread("doc_id").alias("at")), late="31 days")
+    return ingest.drained(spark, found, "append").groupBy("article_id").agg(F.min("duplicate_of").alias("duplicate_of"), F.max("similarity").alias("similarity"))
+
+
+_LANDED = 100
+
+
+def _land(rows: DataFrame, payload: str, at: str) -> None:
+    """One file for each hundred or so documents, in the folder of a source."""
+    by = rows.groupBy(F.floor(F.col("doc_id") / _LANDED).alias("g")).agg(F.expr(payload).alias("value"))
+    by.select("value").write.option("maxRecordsPerFile", 1).text(at)
+
+
+@query("SELECT 'doc://' || doc_id AS url, 'document ' || doc_id AS title, 'queued' AS status FROM documents WHERE doc_id IS NOT NULL GROUP BY doc_id")
+def poll_pass(spark: SparkSession, d: str) -> DataFrame:
+    """Documents landed as feeds and search answers, some in both, polled as one stream: each url is queued once."""
+    spark.dataSource.register(landed.Landed)
+    root = new_folder(spark)
+    docs = table(spark, d, "documents").where("doc_id IS NOT NULL").select("doc_id", F.concat(F.lit("document "), "doc_id").alias("title"), F.concat(F.lit("doc://"), "doc_id").alias("url"))
+    _land(docs.where("doc_id % 3 <> 0"), "to_json(named_struct('query', 'q', 'results', collect_list(named_struct('title', title, 'url', url))))", f"{root}/search")
+    _land(docs.where("doc_id % 3 <> 1"), "concat('<rss><channel>', array_join(collect_list(concat('<item><title>', title, '</title><link>', url, '</link></item>')), ''), '</channel></rss>')", f"{root}/feed")
+    sources = [{"name": n, "type": t, "path": f"{root}/{n}"} for n, t in (("search", "search"), ("feed", "rss"), ("nobody", "rss"))]
+    into = ingest.queue(spark, f"{root}/queue")
+    rows = spark.readStream.format("landed").options(sources=json.dumps(sources), root=into.root, most=str(1 << 60)).load()
+    run = rows.writeStream.option("checkpointLocation", f"{root}/checkpoint").trigger(processingTime="0 seconds").foreachBatch(ingest.enqueue(into)).start()
+    try:
+        run.processAllAvailable()
+    finally:
+        run.stop()
+    return into.table("raw").select("url", "title", "status")
