@@ -80,17 +80,18 @@ def novelty(similar: DataFrame) -> DataFrame:
 
 
 def density_clusters(rows: DataFrame, near: DataFrame, least: int, weight: float, reach: float) -> DataFrame:
-    """event_id and root of the events in dense groups of at least `least`, over the graph of nearest neighbours.
+    """event_id, root and n of the events in dense groups of at least `least`; the others are noise.
 
-    rows has event_id and created_at, near has query_id, id and similarity. A distance is 1 - cosine plus `weight` a day;
-    an event's core distance is that of its least - 1st neighbour; two events are linked if both core distances and
-    their own are within `reach`; clusters are connected components, the rest is noise.
+    rows has event_id and created_at; near (a, b, similarity) holds all pairs that may be within `reach`. A distance is
+    1 - cosine plus `weight` a day; an event's core distance is that of its least - 1st neighbour; two events are linked
+    if both core distances and their own are within `reach`; clusters are the connected components.
     """
     day = rows.select("event_id", (F.unix_micros("created_at") / 86_400_000_000).alias("day"))
-    d = near.join(day.withColumnsRenamed({"event_id": "query_id", "day": "x"}), "query_id").join(day.withColumnsRenamed({"event_id": "id", "day": "y"}), "id")
-    d = d.select("query_id", "id", (1 - F.col("similarity") + weight * F.abs(F.col("x") - F.col("y"))).alias("d"))
-    core = d.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("d", "id"))).where(F.col("r") == least - 1).select("query_id", F.col("d").alias("core"))
-    linked = d.join(core, "query_id").join(core.select(F.col("query_id").alias("id"), F.col("core").alias("other")), "id").where(F.greatest("d", "core", "other") <= reach)
-    found = components(linked.select(F.col("query_id").alias("a"), F.col("id").alias("b")))
+    d = near.join(day.withColumnsRenamed({"event_id": "a", "day": "x"}), "a").join(day.withColumnsRenamed({"event_id": "b", "day": "y"}), "b")
+    d = d.select("a", "b", (1 - F.col("similarity") + weight * F.abs(F.col("x") - F.col("y"))).alias("d")).where(F.col("d") <= reach)
+    # a core distance is within reach exactly if enough neighbours are
+    core = d.select(F.explode(F.array("a", "b")).alias("event_id")).groupBy("event_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least - 1).select("event_id")
+    linked = d.join(core.withColumnRenamed("event_id", "a"), "a", "left_semi").join(core.withColumnRenamed("event_id", "b"), "b", "left_semi")
+    found = components(linked.select("a", "b"))
     size = found.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
     return found.join(size, "root").select(F.col("node").alias("event_id"), "root", "n")

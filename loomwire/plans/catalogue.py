@@ -233,14 +233,6 @@ def novelty(spark: SparkSession, d: str) -> DataFrame:
     return rounded(vectors.novelty(best), ["novelty"])
 
 
-@query()
-def density_clusters(spark: SparkSession, d: str) -> DataFrame:
-    """Dense groups of event vectors, near in meaning and time."""
-    v = M.vectors(spark, d)
-    near = vectors.nearest(v.select((-1 - F.col("event_id")).alias("query_id"), "v"), v.select(F.col("event_id").alias("id"), "v"), 12).withColumn("query_id", -1 - F.col("query_id")).where("query_id <> id")
-    return vectors.density_clusters(v.select("event_id", "created_at"), near, P.min_cluster, P.temporal_weight, 1.0)
-
-
 # Duplicates
 
 _NORM = "trim(lower(regexp_replace(coalesce({}, ''), '\\s+', ' ', 'g')))"

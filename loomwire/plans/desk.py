@@ -247,20 +247,6 @@ def update_merge(spark: SparkSession, d: str) -> DataFrame:
     return out.select("event_id", "summary", F.size("event_updates").alias("updates"), F.array_join(F.transform("event_updates", lambda u: u["report_id"].cast("string")), ",").alias("audit"))
 
 
-_HITS = _UNIT.replace("cluster_id, list_transform", "cluster_id, created_at, list_transform") + f", h AS (SELECT a.event_id, b.event_id AS match_id, round(list_inner_product(a.u, b.u), 9) AS s, row_number() OVER (PARTITION BY a.event_id ORDER BY round(list_inner_product(a.u, b.u), 9) DESC, b.event_id) AS r FROM u a JOIN u b ON b.created_at < a.created_at AND b.created_at >= a.created_at - INTERVAL {P.dedup_days} DAYS)"
-
-
-@query(sql("vec", f"SELECT h.event_id, match_id, {_round('s')} AS similarity, CASE WHEN s < {P.semantic} THEN 'new' WHEN regexp_extract(x.props, '[0-9]+') <> regexp_extract(y.props, '[0-9]+') THEN 'update' ELSE 'duplicate' END AS kind FROM h JOIN events x ON x.event_id = h.event_id JOIN events y ON y.event_id = match_id WHERE r = 1", _HITS))
-def semantic_duplicates(spark: SparkSession, d: str) -> DataFrame:
-    """Each story against the stories of the week before it: the most alike decides, and one that isn't alike enough is new."""
-    v = M.vectors(spark, d).select("event_id", "v", F.unix_timestamp("created_at").alias("at"))
-    near = vectors.nearest(v.withColumnRenamed("event_id", "query_id"), v.withColumnRenamed("event_id", "id"), 5, before=P.dedup_days * 86400)
-    text = table(spark, d, "events").select("event_id", "props")
-    best = near.where("place = 1").select(F.col("query_id").alias("event_id"), F.col("id").alias("match_id"), "similarity")
-    both = best.join(text, "event_id").join(text.select(F.col("event_id").alias("match_id"), F.col("props").alias("other")), "match_id")
-    return rounded(both, ["similarity"]).select("event_id", "match_id", "similarity", F.when(F.col("similarity") < P.semantic, "new").otherwise(dedup.classify(F.lit(None), F.lit(None), F.col("props"), F.col("other"))).alias("kind"))
-
-
 @query("SELECT 'credibility' AS rule, count(*) FILTER (WHERE NOT (l_discount BETWEEN 0 AND 0.05)) AS broken FROM lineitem UNION ALL SELECT 'status', count(*) FILTER (WHERE NOT (l_returnflag IN ('A', 'N'))) FROM lineitem UNION ALL SELECT 'quantity', count(*) FILTER (WHERE NOT (l_quantity > 0)) FROM lineitem")
 def constraint_checks(spark: SparkSession, d: str) -> DataFrame:
     rules = {"credibility": F.col("l_discount").between(0, 0.05), "status": F.col("l_returnflag").isin("A", "N"), "quantity": F.col("l_quantity") > 0}
