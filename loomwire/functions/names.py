@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Honorifics and ranks.
 PREFIXES = [
@@ -19,8 +22,8 @@ ROLES = [
 ]
 #: English titles, measures, and words that are no names.
 ENGLISH_ROLES = ["minister", "secretary", "director", "governor", "president", "chief", "commander", "deputy", "spokesman", "spokesperson", "chairman", "head of", "adviser", "advisor", "former"]
-MEASURE = r"^(?:[0-9,\s]+(?:คน|ราย|ปี)|อายุ\s*[0-9,]+|ไม่(?:ต่ำ|เกิน)กว่า)"
-NO_NAMES = ["มหาชน", "องค์การมหาชน", "นามสมมติ", "นามสมมุติ", "นามแฝง", "สงวนชื่อ", "ผู้เสียชีวิต", "ผู้ก่อเหตุ", "ผู้ต้องหา", "ผู้บาดเจ็บ", "เหยื่อ", "ผู้รอดชีวิตมือปืน"]
+MEASURE = r"(?U)^(?:[\d,\s]+(?:คน|ราย|ปี)|อายุ\s*[\d,]+|ไม่(?:ต่ำ|เกิน)กว่า)"
+NO_NAMES = ["มหาชน", "องค์การมหาชน", "นามสมมติ", "นามสมมุติ", "นามแฝง", "สงวนชื่อ", "ผู้เสียชีวิต", "ผู้ก่อเหตุ", "ผู้ต้องหา", "ผู้บาดเจ็บ", "เหยื่อ", "ผู้รอดชีวิต", "มือปืน"]
 #: Forms of one place, the first names it.
 PLACES = [
     ("ไทย", "ประเทศไทย", "thailand"), ("สิงคโปร์", "singapore"), ("ญี่ปุ่น", "japan"), ("เกาหลีใต้", "southkorea", "korea"), ("เกาหลีเหนือ", "northkorea"), ("จีน", "china"),
@@ -28,15 +31,23 @@ PLACES = [
     ("รัสเซีย", "russia"), ("อินเดีย", "india"), ("เวียดนาม", "vietnam"), ("กัมพูชา", "cambodia"), ("ลาว", "laos"), ("เมียนมา", "พม่า", "myanmar", "burma"), ("มาเลเซีย", "malaysia"),
     ("อินโดนีเซีย", "indonesia"), ("ฟิลิปปินส์", "philippines"), ("แคนาดา", "canada"), ("ยูเครน", "ukraine"), ("อิสราเอล", "israel"),
 ]
+#: A bracket and its text, the two scripts, and the punctuation that doesn't count.
 _BRACKET = r"[(（]([^)）]*)[)）]"
 _THAI, _LATIN = r"[฀-๿]", "[A-Za-z]"
+_PUNCTUATION = "[\"'`·,;:]"
 
 
 def _any(words: list[str]) -> str:
     return "|".join(re.escape(w).replace("\\ ", " ") for w in words)
 
 
-_TRAIL = rf",\s*(?:(?:{_any(ROLES)})[^,]*|[^,]*\b(?i:{'|'.join(ENGLISH_ROLES)})\b[^,]*)$"
+_ENGLISH = rf"(?iU)\b(?:{'|'.join(ENGLISH_ROLES)})\b"
+
+
+@F.pandas_udf(StringType())
+def composed(text: pd.Series) -> pd.Series:
+    """Composed Unicode (NFC), which Spark has no function for; ASCII is left as it is."""
+    return text.map(lambda s: s if s is None or s.isascii() else unicodedata.normalize("NFC", s))
 
 
 def strip_prefix(name: Column) -> Column:
@@ -45,21 +56,21 @@ def strip_prefix(name: Column) -> Column:
 
 
 def norm(name: Column) -> Column:
-    """The comparison form: no honorific, space or punctuation, lower case. Text is taken as composed (NFC)."""
-    return F.lower(F.regexp_replace(F.regexp_replace(strip_prefix(name), r"[\s​]+", ""), "[\"'`·,;:]", ""))
+    """What names are compared by: lower-case letters and digits run together. Expects composed text, as of `composed`."""
+    return F.lower(F.regexp_replace(F.regexp_replace(strip_prefix(name), r"(?U)[\s​]+", ""), _PUNCTUATION, ""))
 
 
 def _bare(text: Column) -> Column:
-    return F.regexp_replace(F.trim(text), r"^[\s.]+|[\s.]+$", "")
+    return F.regexp_replace(text, r"(?U)^[\s.]+|[\s.]+$", "")
 
 
 def is_role(text: Column) -> Column:
     bare = _bare(text)
-    return (F.char_length(bare) >= 2) & (bare.rlike(rf"^(?:{_any(ROLES)})") | bare.rlike(rf"(?i)\b(?:{'|'.join(ENGLISH_ROLES)})\b"))
+    return (F.char_length(bare) >= 2) & (bare.rlike(rf"^(?:{_any(ROLES)})") | bare.rlike(_ENGLISH))
 
 
 def is_abbreviation(short: Column, full: Column) -> Column:
-    """A Latin acronym of at most 8, or a short form whose characters appear in the full one in order."""
+    """Capitals of at most 8 characters with a Latin one among them, or a short subsequence of the full form."""
     core = F.regexp_replace(short, r"[.\s]", "")
     latin = core.rlike(_LATIN) & (F.upper(core) == core) & (F.char_length(core) <= 8)
     place = F.aggregate(F.filter(F.split(core, ""), lambda c: c != ""), F.lit(0), lambda p, c: F.when(p < 0, p).otherwise(_after(c, full, p)))
@@ -73,16 +84,26 @@ def _after(c: Column, full: Column, p: Column) -> Column:
     return F.when(at > 0, p + at).otherwise(-1)
 
 
+def clauses(raw: Column) -> Column:
+    """The parts between commas, but for commas inside brackets; a bracket that never closes holds the rest."""
+    def step(s: Column, c: Column) -> Column:
+        depth = F.when(c.isin("(", "（"), s["depth"] + 1).when(c.isin(")", "）"), F.greatest(s["depth"] - 1, F.lit(0))).otherwise(s["depth"])
+        return F.struct(depth.alias("depth"), F.concat(s["out"], F.when((c == ",") & (s["depth"] == 0), F.lit("\u0001")).otherwise(c)).alias("out"))
+
+    marked = F.aggregate(F.split(raw, ""), F.struct(F.lit(0).alias("depth"), F.lit("").alias("out")), step, lambda s: s["out"])
+    # most names have no comma at all
+    return F.when(F.contains(raw, F.lit(",")), F.split(marked, "\u0001")).otherwise(F.array(raw))
+
+
 def strip_role_clause(raw: Column) -> Column:
-    """Without roles after a comma at the end (three at most); brackets inside such a clause go with it."""
-    out = raw
-    for _ in range(3):
-        out = F.regexp_replace(out, _TRAIL, "")
-    return F.trim(out)
+    """Without the roles that follow a name, however many; the first clause always stays, and one that is no role keeps those before it."""
+    parts = clauses(raw)
+    last = F.aggregate(F.transform(parts, lambda x, i: F.when(is_role(x), F.lit(0)).otherwise(i)), F.lit(0), lambda a, i: F.greatest(a, i))
+    return F.trim(F.array_join(F.slice(parts, F.lit(1), last + 1), ","))
 
 
 def classify(inner: Column, head: Column) -> Column:
-    """STRONG (a name), WEAK (a nickname) or DROP (no name) for a bracket."""
+    """What a bracket after `head` is: another form of it (STRONG), a name that others may share (WEAK), or a description (DROP)."""
     bare = _bare(inner)
     places = F.create_map(*[F.lit(x) for group in PLACES for form in group for x in (form, group[0])])
     place, own = F.try_element_at(places, norm(bare)), F.try_element_at(places, norm(head))
@@ -94,9 +115,9 @@ def classify(inner: Column, head: Column) -> Column:
 
 
 def parsed(raw: Column) -> Column:
-    """struct(head, strong, weak, qualifiers) of a mention."""
+    """struct(head, strong, weak, qualifiers) of a mention, in composed text."""
     body = strip_role_clause(raw)
-    head = F.trim(F.regexp_replace(F.regexp_replace(body, _BRACKET, " "), r"\s+", " "))
+    head = F.trim(F.regexp_replace(F.regexp_replace(body, _BRACKET, " "), r"(?U)[\s​]+", " "))
     kinds = F.transform(F.regexp_extract_all(body, F.lit(_BRACKET), F.lit(1)), lambda b: F.struct(classify(b, head).alias("k"), norm(b).alias("n")))
     of = lambda k: F.array_sort(F.array_distinct(F.transform(F.filter(kinds, lambda x: (x["k"] == k) & (F.char_length(x["n"]) >= 2)), lambda x: x["n"])))
     return F.struct(norm(head).alias("head"), of("STRONG").alias("strong"), of("WEAK").alias("weak"), of("DROP").alias("qualifiers"))

@@ -50,7 +50,7 @@ def mention_groups(mentions: DataFrame) -> DataFrame:
     A spelling joins the first holder of each of its keys unless their qualifiers differ; what hangs together within an
     event is one group.
     """
-    one = mentions.select("event_id", "raw").distinct().withColumn("p", names.parsed(F.col("raw")))
+    one = mentions.select("event_id", "raw").distinct().withColumn("_composed", names.composed("raw")).withColumn("p", names.parsed(F.col("_composed"))).drop("_composed")
     keyed = one.select("event_id", "raw", F.col("p.qualifiers").alias("q"), F.explode(F.array_distinct(F.concat(F.array("p.head"), "p.strong"))).alias("key"))
     first = keyed.groupBy("event_id", "key").agg(F.min(F.struct("raw", "q")).alias("f"))
     node = lambda raw: F.concat_ws("\x1f", F.col("event_id").cast("string"), raw)

@@ -470,11 +470,29 @@ def _raw(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", "p_size", F.expr(_RAW).alias("raw"))
 
 
-@query("SELECT p_partkey, lower(regexp_replace(p_name, '[\\s\"''`·,;:]', '', 'g')) AS head FROM part")
+#: What is put behind a part's name, and the one form that it should add: strong (s), weak (w) or a qualifier (q).
+_BEHIND = [
+    ("", "", ""), (" (DSI)", "s", "dsi"), (" (กรมสอบสวน)", "s", "กรมสอบสวน"), (" (the late one)", "w", "thelateone"), (" (Minister of Trade)", "q", "ministeroftrade"), (" (สิงคโปร์)", "q", "สิงคโปร์"), (" (๕๐ ปี)", "q", "๕๐ปี"),
+    (" (มือปืน)", "q", "มือปืน"), (", Minister of Trade (MOT)", "", ""), (", former chief, deputy director, Secretary, adviser", "", ""), (", (Deputy Minister, Finance)", "", ""), (" (X)", "", ""), (" (unclosed, Minister", "", ""),
+]
+_K = len(_BEHIND)
+
+
+def _behind(kind: str) -> str:
+    return "CASE " + " ".join(f"WHEN p_partkey % {_K} = {i} THEN '{form}'" for i, (_, k, form) in enumerate(_BEHIND) if k == kind) + " ELSE '' END"
+
+
+@query(
+    f"SELECT p_partkey, lower(regexp_replace(p_name || CASE WHEN p_partkey % {_K} = 12 THEN '(unclosedMinister' ELSE '' END, '[\\s\"''`·,;:]', '', 'g')) AS head, {_behind('s')} AS strong, {_behind('w')} AS weak, {_behind('q')} AS qualifiers FROM part"
+)
 def entity_parse(spark: SparkSession, d: str) -> DataFrame:
+    """Part names behind honorifics and before brackets, roles and clauses of all kinds: head, aliases, nicknames, qualifiers."""
     from loomwire.functions import names
 
-    return _raw(spark, d).select("p_partkey", names.parsed(F.col("raw"))["head"].alias("head"))
+    behind = F.get(F.array(*[F.lit(b) for b, _, _ in _BEHIND]), (F.col("p_partkey") % _K).cast("int"))
+    raw = F.concat(F.when(F.col("p_partkey") % 3 == 0, "Dr. ").when(F.col("p_partkey") % 3 == 1, "Gen. Mr. ").otherwise(""), "p_name", behind)
+    p = table(spark, d, "part").select("p_partkey", names.composed(raw).alias("raw")).select("p_partkey", names.parsed(F.col("raw")).alias("p"))
+    return p.select("p_partkey", "p.head", *[F.array_join(f"p.{c}", ",").alias(c) for c in ("strong", "weak", "qualifiers")])
 
 
 @query()
