@@ -44,14 +44,14 @@ def beat_matches(shortlist: DataFrame, events: DataFrame, seen: DataFrame, param
     return rows.where(F.col("place") <= params.beat_cap)
 
 
-def mention_groups(mentions: DataFrame) -> DataFrame:
+def mention_groups(mentions: DataFrame, qualifiers: bool = True) -> DataFrame:
     """event_id, raw, group (its first spelling), members, name and risky: spellings that share a head or a strong alias.
 
-    A spelling joins the first holder of each of its keys unless their qualifiers differ; what hangs together within an
+    A spelling joins the first holder of each of its keys unless their qualifiers differ (if they count); what hangs together within an
     event is one group.
     """
     one = mentions.select("event_id", "raw").distinct().withColumn("_composed", names.composed("raw")).withColumn("p", names.parsed(F.col("_composed"))).drop("_composed")
-    keyed = one.select("event_id", "raw", F.col("p.qualifiers").alias("q"), F.explode(F.array_distinct(F.concat(F.array("p.head"), "p.strong"))).alias("key"))
+    keyed = one.select("event_id", "raw", (F.col("p.qualifiers") if qualifiers else F.lit(0)).alias("q"), F.explode(F.array_distinct(F.concat(F.array("p.head"), "p.strong"))).alias("key"))
     first = keyed.groupBy("event_id", "key").agg(F.min(F.struct("raw", "q")).alias("f"))
     node = lambda raw: F.concat_ws("\x1f", F.col("event_id").cast("string"), raw)
     edges = keyed.join(first, ["event_id", "key"]).where((F.col("raw") != F.col("f.raw")) & (F.col("q") == F.col("f.q"))).select(node(F.col("f.raw")).alias("a"), node(F.col("raw")).alias("b"))

@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 
 from loomwire import model as M
 from loomwire.model import sql
-from loomwire.operators import dedup, merge, snapshot, vectors, weak, within
+from loomwire.operators import dedup, merge, repair, snapshot, vectors, weak, within
 from loomwire.params import DEFAULTS as P
 from loomwire.plans.catalogue import _DAYS, _recursive, _round, _stamp, query, rounded, stamp
 from loomwire.session import table
 from loomwire.sources import landed
 from loomwire.storage import new_folder, stored
-from loomwire.streaming import ingest, nearby
+from loomwire.streaming import ingest, nearby, outbox
 
 # Weak signals
 
@@ -311,3 +311,35 @@ def density_clusters(spark: SparkSession, d: str) -> DataFrame:
     near = within.alike(v, 1 - _REACH, int(_REACH / P.temporal_weight * 86400) + 1)
     rows = v.select(F.col("id").alias("event_id"), F.timestamp_seconds("at").alias("created_at"))
     return vectors.density_clusters(rows, near, P.min_cluster, P.temporal_weight, _REACH)
+
+
+# Outbox and repair
+
+
+@query("SELECT o_orderkey::VARCHAR AS signal_id, o_orderpriority AS title FROM orders WHERE o_orderkey % 4 <> 3 AND o_orderkey % 5 <> 0")
+def signals_announced(spark: SparkSession, d: str) -> DataFrame:
+    """Signals that landed in two runs, some twice and some broken, read by two streams that know nothing of each other: each once."""
+    root = new_folder(spark)
+    box, into = f"{root}/outbox", outbox.announced(spark, f"{root}/announced")
+    o = table(spark, d, "orders")
+    signal = o.select(
+        F.col("o_orderkey").cast("string").alias("signal_id"), F.when(F.col("o_orderkey") % 4 == 3, "rumour").otherwise("trend_breakout").alias("kind"), F.col("o_orderdate").cast("timestamp").alias("created_at"),
+        F.when(F.col("o_orderkey") % 5 != 0, F.col("o_custkey").cast("string")).alias("cluster_id"), F.lit(None).cast("string").alias("event_id"), F.col("o_orderpriority").alias("title"), F.col("o_totalprice").alias("score"),
+    )
+    for run, rows in (("one", signal.where("cast(signal_id as long) % 2 = 0")), ("two", signal.where("cast(signal_id as long) % 3 <> 0 OR cast(signal_id as long) % 2 = 1"))):
+        outbox.append(rows, box)
+        lines = spark.readStream.schema(outbox.LINES).text(box)
+        lines.writeStream.option("checkpointLocation", f"{root}/{run}").trigger(availableNow=True).foreachBatch(outbox.announcing(into)).start().awaitTermination()
+    return into.table("announced").select("signal_id", "title")
+
+
+_STORE = "st AS (SELECT p_partkey AS entity_id, p_name AS name, count(l_orderkey) AS n, CASE WHEN p_size % 3 = 0 THEN 'org' ELSE 'person' END AS type, p_partkey % 97 <> 5 AS related FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY ALL), lead AS (SELECT name, first(entity_id ORDER BY n DESC, entity_id) AS lead, first(type ORDER BY n DESC, entity_id) AS lead_type FROM st WHERE related GROUP BY name)"
+
+
+@query(sql("", "SELECT entity_id, CASE WHEN NOT related THEN 'unrelated_names' WHEN entity_id = lead THEN 'kept' WHEN type = lead_type THEN 'merged' ELSE 'type_mismatch' END AS outcome, CASE WHEN related AND entity_id <> lead THEN lead END AS into FROM st LEFT JOIN lead USING (name)", _STORE))
+def store_repair(spark: SparkSession, d: str) -> DataFrame:
+    """What a repair would do with parts as entities that share their names: the dry run."""
+    n = M.mentions(spark, d).groupBy("entity_id").agg(F.count(F.lit(1)).alias("n"))
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("entity_id"), F.col("p_name").alias("name"), F.array(F.lower(F.regexp_replace("p_name", r"\s", ""))).alias("aliases"), F.when(F.col("p_size") % 3 == 0, "org").otherwise("person").alias("type"))
+    rows = p.join(n, "entity_id", "left").select("*", F.coalesce("n", F.lit(0)).alias("mention_count"), F.lit(None).cast("string").alias("qid"), F.lit(True).alias("spelt"), (F.col("entity_id") % 97 != 5).alias("related"))
+    return repair.decided(rows)
