@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 
 from loomwire import model as M
 from loomwire.model import sql
-from loomwire.operators import dedup, merge, repair, snapshot, vectors, weak, within
+from loomwire.operators import dedup, merge, repair, resolve, snapshot, vectors, weak, within
 from loomwire.params import DEFAULTS as P
 from loomwire.plans.catalogue import _DAYS, _recursive, _round, _stamp, query, rounded, stamp
 from loomwire.session import table
 from loomwire.sources import landed
 from loomwire.storage import new_folder, stored
-from loomwire.streaming import ingest, nearby, outbox
+from loomwire.streaming import ingest, migrations, nearby, outbox
 
 # Weak signals
 
@@ -343,3 +343,66 @@ def store_repair(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part").select(F.col("p_partkey").alias("entity_id"), F.col("p_name").alias("name"), F.array(F.lower(F.regexp_replace("p_name", r"\s", ""))).alias("aliases"), F.when(F.col("p_size") % 3 == 0, "org").otherwise("person").alias("type"))
     rows = p.join(n, "entity_id", "left").select("*", F.coalesce("n", F.lit(0)).alias("mention_count"), F.lit(None).cast("string").alias("qid"), F.lit(True).alias("spelt"), (F.col("entity_id") % 97 != 5).alias("related"))
     return repair.decided(rows)
+
+
+# Resolution and migrations
+
+#: Four parts are asked about at once; the answers split, omit, repeat and invent names, and some can't be read.
+_REPLIES = [
+    '{"groups": [{"members": [0, 1, 2, 3], "canonical": "all", "type": "org", "confidence": 0.9}]}',
+    '<think>hm</think> {"groups": [{"members": [0, 1], "type": "person", "confidence": 0.8}, {"members": [1, 2, 7, -1, "x"], "type": "dragon"}]}',
+    '{"groups": [{"members": [9], "type": "org"}, {"members": [], "type": "org"}]}',
+    "no idea",
+    '{"groups": [{"members": [3, 3, 2], "type": "generic", "confidence": 0.2}, {"members": [2, 3], "type": "org"}, {"members": [0], "type": "place", "confidence": 1}]}',
+]
+
+
+@query(
+    sql(
+        "",
+        "SELECT p_partkey, CASE k WHEN 0 THEN 0 WHEN 1 THEN CASE WHEN i <= 1 THEN 0 WHEN i = 2 THEN 1 ELSE -1 END WHEN 2 THEN -1 WHEN 3 THEN -2 ELSE CASE i WHEN 0 THEN 2 WHEN 1 THEN -1 ELSE 0 END END AS part, "
+        "CASE k WHEN 0 THEN 'org' WHEN 1 THEN CASE WHEN i <= 1 THEN 'person' ELSE 'unknown' END WHEN 2 THEN 'unknown' WHEN 3 THEN 'unknown' ELSE CASE i WHEN 0 THEN 'place' WHEN 1 THEN 'unknown' ELSE 'generic' END END AS type, "
+        "CASE k WHEN 0 THEN 0.9 WHEN 1 THEN CASE WHEN i <= 1 THEN 0.8 WHEN i = 2 THEN 0.5 ELSE 0.0 END WHEN 2 THEN 0.0 WHEN 3 THEN 0.5 ELSE CASE i WHEN 0 THEN 1.0 WHEN 1 THEN 0.0 ELSE 0.2 END END::DOUBLE AS confidence, "
+        "CASE WHEN k = 3 OR k = 2 OR (k = 1 AND i = 3) OR (k = 4 AND i = 1) THEN 'rules' ELSE 'llm' END AS decided_by, "
+        "CASE WHEN k = 2 OR (k = 1 AND i = 3) OR (k = 4 AND i = 1) THEN 'names_dropped' WHEN (k = 0 OR k = 3) AND n > 1 OR k = 1 AND i <= 1 OR k = 4 AND i >= 2 AND n > i THEN 'joined_on_bracket' END AS risk FROM mem",
+        "mem AS (SELECT p_partkey, p_partkey % 4 AS i, p_partkey // 4 % 5 AS k, count(*) OVER (PARTITION BY p_partkey // 4) AS n FROM part)",
+    ).replace("k = 1 AND i <= 1 OR", "k = 1 AND i <= 1 AND (SELECT count(*) FROM part x WHERE x.p_partkey // 4 = mem.p_partkey // 4 AND x.p_partkey % 4 <= 1) > 1 OR").replace(
+        "k = 4 AND i >= 2 AND n > i", "k = 4 AND i >= 2 AND (SELECT count(*) FROM part x WHERE x.p_partkey // 4 = mem.p_partkey // 4 AND x.p_partkey % 4 >= 2) > 1"
+    )
+)
+def entities_resolved(spark: SparkSession, d: str) -> DataFrame:
+    """Where each name of a question ends up after its answer, and who decided it."""
+    p = table(spark, d, "part").select("p_partkey", F.expr("p_partkey div 4").alias("group_id"), F.concat(F.lit("part "), "p_partkey").alias("member"), (F.col("p_partkey") % 4).alias("i"))
+    # the first question of the table lacks a name, and a place that isn't there is none
+    groups = p.groupBy("group_id").agg(F.collect_list(F.struct("i", "member")).alias("m"))
+    full = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.coalesce(F.get(F.filter("m", lambda x: x["i"] == i), F.lit(0))["member"], F.concat(F.lit("nobody "), i.cast("string"))))
+    groups = groups.select("group_id", full.alias("members"))
+    answers = groups.select("group_id", F.get(F.array(*[F.lit(r) for r in _REPLIES]), (F.col("group_id") % len(_REPLIES)).cast("int")).alias("reply"))
+    out = resolve.resolutions(groups, answers).select("group_id", "part", "type", "confidence", "decided_by", "risk", F.explode("mentions").alias("member"))
+    return out.join(p.select("group_id", "member", "p_partkey"), ["group_id", "member"]).select("p_partkey", "part", "type", "confidence", "decided_by", "risk")
+
+
+@query(
+    "SELECT 'entities' AS name, p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN 'linked' ELSE 'pending' END AS state FROM part UNION ALL SELECT 'verdicts', doc_id, CASE WHEN quality = 1 THEN 'true_signal' ELSE 'false_signal' END FROM labels WHERE toxic IS DISTINCT FROM 1"
+)
+def store_migrated(spark: SparkSession, d: str) -> DataFrame:
+    """A store that went up all its versions, lived, came down to the first and went up again: what no version knew is gone."""
+    store = migrations.Store(spark, new_folder(spark), migrations.STEPS)
+    e = table(spark, d, "part").select(F.col("p_partkey").alias("entity_id"), F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("Q"), "p_partkey")).alias("qid"))
+    store.put({"entities": e, "verdicts": M.verdicts(spark, d).select("dispatch_id", F.coalesce("verdict", F.lit("false_signal")).alias("verdict"))})
+    store.migrate()
+    store.put({"entities": store.table("entities").withColumn("qid_status", F.when(F.col("entity_id") % 5 == 0, "duplicate").otherwise(F.col("qid_status")))})
+    store.migrate(0)
+    store.migrate()
+    ids = store.table("entities").select(F.lit("entities").alias("name"), F.col("entity_id").alias("id"), F.col("qid_status").alias("state"))
+    return ids.unionByName(store.table("verdicts").select(F.lit("verdicts").alias("name"), F.col("dispatch_id").alias("id"), F.col("verdict").alias("state")))
+
+
+_MARKERS = ["cold", "promo", "song"]
+
+
+@query("SELECT p_partkey, p_size % 3 = 0 AS unknown FROM part WHERE p_size % 3 = 0 OR NOT (contains(lower(p_name || ' ' || p_type), 'cold') OR contains(lower(p_name || ' ' || p_type), 'promo') OR contains(lower(p_name || ' ' || p_type), 'song'))")
+def candidates_plausible(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates that can be meant: works only where the type is unknown."""
+    c = table(spark, d, "part").select("p_partkey", F.col("p_name").alias("label"), F.col("p_type").alias("description"), F.when(F.col("p_size") % 3 != 0, "person").alias("entity_type"))
+    return resolve.plausible(c, _MARKERS).select("p_partkey", F.col("entity_type").isNull().alias("unknown"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
@@ -44,3 +45,27 @@ def discard(*tables: DataFrame) -> None:
         jvm = df.sparkSession._jvm
         path = jvm.org.apache.hadoop.fs.Path(df.stored_at)
         path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+class Manifests:
+    """Small numbered files that say what is current. Each appears under its name in one step, and its number only once."""
+
+    def __init__(self, spark: SparkSession, root: str) -> None:
+        self.spark, self.root = spark, root.rstrip("/")
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._at = self._path(f"{self.root}/manifests")
+        self._fs = self._at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+    def newest(self) -> dict | None:
+        names = sorted(x.getPath().getName() for x in self._fs.listStatus(self._at)) if self._fs.exists(self._at) else []
+        names = [n for n in names if n.endswith(".json")]
+        return json.loads(self.spark.read.text(f"{self.root}/manifests/{names[-1]}", wholetext=True).first()[0]) if names else None
+
+    def publish(self, number: int, state: dict) -> None:
+        draft, final = self._path(f"{self.root}/drafts/{uuid.uuid4().hex}"), self._path(f"{self.root}/manifests/{number:020d}.json")
+        out = self._fs.create(draft)
+        out.write(bytearray(json.dumps(state).encode()))
+        out.close()
+        self._fs.mkdirs(self._at)
+        if self._fs.exists(final) or not self._fs.rename(draft, final):
+            raise RuntimeError(f"another writer has published {final}")
