@@ -32,10 +32,31 @@ def test_window_start(spark, at, hour):
     assert one(spark, trends.window_start(F.lit(f"2026-08-20 {at}:00").cast("timestamp"))) == datetime(2026, 8, 20, hour)
 
 
-def test_smoothing(spark):
-    assert one(spark, trends.smoothed(numbers([5, 5, 5]), 6)) == pytest.approx([5, 5, 5])
+def test_smoothing_and_differences(spark):
+    moves = lambda xs: one(spark, trends.motion(numbers(xs), 6))
+    assert [m["frequency"] for m in moves([5, 5, 5])] == pytest.approx([5, 5, 5])
+    assert [m["velocity"] for m in moves([5, 5, 5])] == pytest.approx([0, 0, 0], abs=1e-12)
     d = 5 / 7
-    assert one(spark, trends.smoothed(numbers([1, 2]), 6)) == pytest.approx([1, (2 + d) / (1 + d)])
+    f = (2 + d) / (1 + d)
+    first, second = moves([1, 2])
+    assert (first["frequency"], first["velocity"], first["acceleration"]) == (1, 0, 0)
+    assert second["frequency"] == pytest.approx(f)
+    assert second["velocity"] == pytest.approx(f - 1)
+    # the velocities 0 and f - 1 smoothed, their difference, and that smoothed
+    s = (f - 1) / (1 + d)
+    assert second["acceleration"] == pytest.approx(s / (1 + d))
+    assert moves([]) == []
+
+
+def test_scores_against_earlier_values(spark):
+    xs = [1.0, 1.0, 1.0, 4.0, 2.0]
+    got = one(spark, trends.unusual(F.transform(numbers(xs), lambda x: F.struct(x.alias("frequency"), F.lit(0.0).alias("velocity"), (-x).alias("acceleration")))))
+    assert [g["z_frequency"] for g in got[:3]] == [None, None, 0.0]
+    assert got[3]["z_frequency"] == 0.0  # nothing has moved before, so nothing can be told
+    sd = (((0.75) ** 2 * 3 + 2.25**2) / 3) ** 0.5
+    assert got[4]["z_frequency"] == pytest.approx((2 - 1.75) / sd)
+    assert got[4]["z_acceleration"] == pytest.approx(-got[4]["z_frequency"])
+    assert [g["z_velocity"] for g in got] == [None, None, 0.0, 0.0, 0.0]
 
 
 def test_burst(spark):
