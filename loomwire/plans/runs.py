@@ -207,7 +207,8 @@ def _arrivals(spark: SparkSession, d: str, rows: DataFrame) -> DataFrame:
 def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
     """Every document's way through the gate, duplicates, updates and new stories, as a stream leaves it."""
     into = ingest.ledger(spark, new_folder(spark))
-    rows = ingest.stream(spark, f"{d.rstrip('/')}/documents.parque[t]", table(spark, d, "documents").schema)
+    # one file a batch: pairs inside a batch are its square at worst, and later ones meet the stories by then
+    rows = ingest.stream(spark, f"{d.rstrip('/')}/documents.parque[t]", table(spark, d, "documents").schema, files=1)
     sink = ingest.arriving(into, M.sources(spark, d))
     run = rows.writeStream.option("checkpointLocation", f"{into.root}/checkpoint").trigger(availableNow=True).foreachBatch(lambda batch, n: sink(_arrivals(spark, d, batch), n)).start()
     run.awaitTermination()
