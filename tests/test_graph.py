@@ -5,8 +5,9 @@ from __future__ import annotations
 import os
 import random
 
+from loomwire import storage
 from loomwire.operators.graph import components
-from loomwire.storage import discard, shared_dir, stored
+from loomwire.storage import discard, stored
 
 
 def test_components_are_union_find(spark):
@@ -29,8 +30,9 @@ def test_components_are_union_find(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_rounds_leave_one_folder(spark):
-    at = shared_dir(spark).removeprefix("file:")
+def test_rounds_leave_one_folder(spark, tmp_path, monkeypatch):
+    at = str(tmp_path)  # a folder that no other session writes to
+    monkeypatch.setattr(storage, "shared_dir", lambda _: at)
     before = set(os.listdir(at))
     out = components(spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long"))
     assert len(set(os.listdir(at)) - before) == 1
