@@ -58,8 +58,8 @@ class SuffixAutomaton:
     """The substrings of some byte strings; `ends` lists the strings that are suffixes of what was read.
 
     Strings may be added in any order. After `close`, state s has transitions go[s << 8 | byte], the longest substring's
-    length, a link to its longest proper suffix in another state, its own marked strings by falling length, and a link
-    to the nearest state on the chain that has any.
+    length, a link to its longest proper suffix in another state, and in `ends` the marked strings among its suffixes, as
+    (length, mark) by falling length.
     """
 
     def __init__(self) -> None:
@@ -109,11 +109,10 @@ class SuffixAutomaton:
     def close(self) -> None:
         self.go = {s << 8 | b: t for s, by in enumerate(self.next) for b, t in by.items()}
         self.next = []
-        self.own = [sorted(self.marks.get(s, ()), reverse=True) for s in range(len(self.length))]
-        self.up = [-1] * len(self.length)
-        for s in sorted(range(1, len(self.length)), key=self.length.__getitem__):
-            above = self.link[s]
-            self.up[s] = above if above > 0 and self.own[above] else self.up[above] if above > 0 else -1
+        self.ends: list[tuple] = [()] * len(self.length)
+        for s in sorted(range(len(self.length)), key=self.length.__getitem__):
+            above = self.ends[self.link[s]] if s else ()
+            self.ends[s] = (*sorted(self.marks[s], reverse=True), *above) if s in self.marks else above
         self.marks = {}
 
 
@@ -194,7 +193,7 @@ class Encoder:
     def word(self, data: bytes) -> list[int]:
         """Ids of one word."""
         auto = self.automaton
-        go, link, length, own, up = auto.go, auto.link, auto.length, auto.own, auto.up
+        go, link, length, ends = auto.go, auto.link, auto.length, auto.ends
         pairs, compatible = self.pairs, self._compatible
         last, size = [-1] * (len(data) + 1), [0] * (len(data) + 1)
         state = n = 0
@@ -203,24 +202,21 @@ class Encoder:
                 state = link[state]  # the root has every byte
                 n = length[state]
             state, n = to, n + 1
-            s = state if own[state] else up[state]
-            while s >= 0 and not size[at]:
-                for k, token in own[s]:
-                    if k > n:
+            for k, token in ends[state]:
+                if k > n:
+                    continue
+                before = last[at - k]
+                if before >= 0:
+                    key = before << 32 | token
+                    good = pairs.get(key)
+                    if good is None:
+                        if len(pairs) > 2_000_000:
+                            pairs.clear()
+                        good = pairs[key] = compatible(before, token)
+                    if not good:
                         continue
-                    before = last[at - k]
-                    if before >= 0:
-                        key = before << 32 | token
-                        good = pairs.get(key)
-                        if good is None:
-                            if len(pairs) > 2_000_000:
-                                pairs.clear()
-                            good = pairs[key] = compatible(before, token)
-                        if not good:
-                            continue
-                    last[at], size[at] = token, k
-                    break
-                s = up[s]
+                last[at], size[at] = token, k
+                break
         out, at = [], len(data)
         while at:
             out.append(last[at])

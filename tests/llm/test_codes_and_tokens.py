@@ -142,10 +142,7 @@ def test_automaton_lists_the_suffixes_among_its_strings():
                 state = auto.link[state]
                 n = auto.length[state]
             state, n = to, n + 1
-            s, found = state, []
-            while s >= 0:
-                found += [m for k, m in auto.own[s] if k <= n]
-                s = auto.up[s]
+            found = [m for k, m in auto.ends[state] if k <= n]
             assert [strings[m] for m in found] == sorted((s for s in strings if text[:at].endswith(s)), key=len, reverse=True)
 
 
