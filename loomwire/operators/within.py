@@ -99,3 +99,42 @@ def alike(rows: DataFrame, floor: float, seconds: int | None = None, digits: int
     out = stored(left.groupBy("pair").cogroup(right.groupBy("to")).applyInPandas(met, "a long, b long, similarity double"))
     discard(tagged, found, pairs)
     return out
+
+
+def best_before(queries: DataFrame, rows: DataFrame, seconds: int, digits: int = 9, block: int = BLOCK) -> DataFrame:
+    """id, match_id and similarity: each query's most alike row of the `seconds` before it, however unlike; ties to the smaller id.
+
+    Both have id, v and at (seconds). Without a floor no block can be skipped for its vectors, only for its time: a
+    query meets the rows of its own slot and of the one before, in blocks of bounded size. The result is stored.
+    """
+
+    def dealt(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+        df = df.select("id", F.col("at").cast("long").alias("at"), unit(F.col("v")).alias("u")).withColumn("slot", F.floor(F.col("at") / seconds))
+        size = stored(df.groupBy("slot").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("n")))
+        return df.join(size, "slot").select("id", "at", "u", "slot", F.pmod(F.xxhash64("id"), F.col("n")).cast("int").alias("s")), size
+
+    def to(df: DataFrame, step: int, size: DataFrame) -> DataFrame:
+        """The rows, once for each block of the other side that they meet."""
+        other = size.select(F.col("slot").alias("_slot"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("_s"))
+        return df.withColumn("_at", F.explode(F.array("slot", F.col("slot") + step))).join(other, F.col("_at") == F.col("_slot"))
+
+    left, asked = dealt(queries)
+    right, held = dealt(rows)
+    left = to(left, -1, held).select("id", "at", "u", F.col("slot").alias("a"), F.col("s").alias("p"), F.col("_slot").alias("b"), F.col("_s").alias("q"))
+    right = to(right, 1, asked).select(F.col("id").alias("id_"), F.col("at").alias("at_"), F.col("u").alias("u_"), F.col("_slot").alias("a_"), F.col("_s").alias("p_"), F.col("slot").alias("b_"), F.col("s").alias("q_"))
+
+    def met(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(y):
+            return pd.DataFrame({"id": [], "match_id": [], "similarity": []}).astype({"id": "int64", "match_id": "int64", "similarity": "float64"})
+        y = y.sort_values("id_")
+        ago = x["at"].to_numpy()[:, None] - y["at_"].to_numpy()[None, :]
+        s = np.where((ago > 0) & (ago <= seconds), np.round(np.stack(x["u"].to_numpy()) @ np.stack(y["u_"].to_numpy()).T, digits), -np.inf)
+        most = s.argmax(1)
+        s = s[np.arange(len(s)), most]
+        return pd.DataFrame({"id": x["id"].to_numpy(), "match_id": y["id_"].to_numpy()[most], "similarity": s})[np.isfinite(s)]
+
+    found = left.groupBy("a", "p", "b", "q").cogroup(right.groupBy("a_", "p_", "b_", "q_")).applyInPandas(met, "id long, match_id long, similarity double")
+    best = found.groupBy("id").agg(F.max(F.struct("similarity", (-F.col("match_id")).alias("m"))).alias("best"))
+    out = stored(best.select("id", (-F.col("best.m")).alias("match_id"), F.col("best.similarity").alias("similarity")))
+    discard(asked, held)
+    return out
