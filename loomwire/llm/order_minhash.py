@@ -251,6 +251,35 @@ def rare_words(rows: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     return out
 
 
+def twice(rows: DataFrame, key: str) -> DataFrame:
+    """Rows joined with themselves on `key`: t, n, p, root and before of one, u, m, q, v and other of the other.
+
+    Both sides take the same columns under new names, so Spark shuffles them once.
+    """
+    names = {"t": "u", "n": "m", "p": "q", "root": "v"} | ({"before": "other"} if "before" in rows.columns else {})
+    one = rows.select(F.col(key).alias("_x"), *[F.col(c).alias(c) for c in names])
+    other = rows.select(F.col(key).alias("_y"), *[F.col(c).alias(d) for c, d in names.items()])
+    return one.join(other, F.col("_x") == F.col("_y"))
+
+
+def one_each(rows: DataFrame) -> DataFrame:
+    """t, n, s and p of each text once; rows (stored) repeat them for copies.
+
+    Sketches are long, so texts with one row stay where they are, and only the copies' rows are shuffled. Keys of texts
+    with copies go out as hashes if they are few (a hash that meets by chance only sends a text to the shuffle).
+    """
+    copied = stored(rows.groupBy("t").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("t"))
+    grouped = lambda some: some.groupBy("t").agg(F.first("n").alias("n"), F.first("s").alias("s"), F.first("p").alias("p"))
+    if few(copied):
+        hashed = F.broadcast(copied.select(F.xxhash64("t").alias("_h")).distinct())
+        same = F.xxhash64(rows["t"]) == hashed["_h"]
+        out = stored(rows.join(hashed, same, "left_anti").select("t", "n", "s", "p").unionByName(grouped(rows.join(hashed, same, "left_semi"))))
+    else:
+        out = stored(grouped(rows))
+    discard(copied)
+    return out
+
+
 def roots(items: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """node and root of every text that has a near duplicate; items has t, n, s and p, one row per text, docs t and text.
 
@@ -307,27 +336,25 @@ def roots(items: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) ->
     before, left = left, mixed(left.drop("root"), known)
     discard(before)
 
-    x, y = left.where(F.col("size") <= SMALL), left.where(F.col("size") <= SMALL).select("key", F.col("t").alias("u"), F.col("n").alias("m"), F.col("p").alias("q"), F.col("root").alias("v"))
-    near = x.join(y, "key").where((F.col("t") < F.col("u")) & (F.col("root") != F.col("v")) & _may_be_similar("n", "m", "p", "q", similarity))
+    near = twice(left.where(F.col("size") <= SMALL), "key").where((F.col("t") < F.col("u")) & (F.col("root") != F.col("v")) & _may_be_similar("n", "m", "p", "q", similarity))
     pairs = stored(near.select(F.col("t").alias("a"), F.col("u").alias("b")).distinct())
 
     large = stored(left.where(F.col("size") > SMALL).groupBy("t").agg(*[F.first(c).alias(c) for c in ("n", "p", "root")]))
     every = rare_words(large, texts(large.select("t")), similarity)
-    same = Window.partitionBy("g")
-    rare = stored(every.withColumn("lo", F.min(F.xxhash64("root")).over(same)).withColumn("hi", F.max(F.xxhash64("root")).over(same)).where("lo <> hi").drop("lo", "hi"))
-    other = rare.select("g", F.col("before").alias("other"), F.col("t").alias("u"), F.col("n").alias("m"), F.col("p").alias("q"), F.col("root").alias("v"))
-    met = rare.join(other, "g").where((F.col("t") < F.col("u")) & (F.col("root") != F.col("v")) & _may_be_similar("n", "m", "p", "q", similarity) & ~F.arrays_overlap("before", "other"))
+    words = stored(every.groupBy("g").agg(F.min(F.xxhash64("root")).alias("lo"), F.max(F.xxhash64("root")).alias("hi")).where("lo <> hi").select("g"))
+    rare = stored(every.join(F.broadcast(words) if few(words) else words, "g"))
+    met = twice(rare, "g").where((F.col("t") < F.col("u")) & (F.col("root") != F.col("v")) & _may_be_similar("n", "m", "p", "q", similarity) & ~F.arrays_overlap("before", "other"))
     met = met.select(F.col("t").alias("a"), F.col("u").alias("b"))
     rest = stored(pairs.unionByName(met).distinct().join(asked, ["a", "b"], "left_anti"))
     out = components(known.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(verified(rest)))
-    discard(known, left, pairs, large, every, rare, rest)
+    discard(known, left, pairs, large, every, words, rare, rest)
     return out
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, t, class_id (least doc_id), class_rows and class_texts of every row of docs (doc_id, text)."""
     rows = stored(sketched(docs, similarity))
-    items = stored(rows.groupBy("t").agg(F.first("n").alias("n"), F.first("s").alias("s"), F.first("p").alias("p")))
+    items = one_each(rows)
     slim = stored(rows.select("doc_id", "t"))
     discard(rows)
     texts = docs.select(F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("t"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))

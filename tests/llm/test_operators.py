@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from loomwire import llm
-from loomwire.llm import banded, block_topk, chat_format, decontaminate, harmonic_packing, jump_sharding, line_dedup, license_digest, order_minhash, rule_quality, url_templates
+from loomwire.llm import _common, banded, block_topk, chat_format, decontaminate, harmonic_packing, jump_sharding, line_dedup, license_digest, order_minhash, rule_quality, url_templates
+from loomwire.storage import stored
 from tests.oracle import connect, same
 
 REGISTERED = llm.registered()
@@ -297,6 +298,19 @@ def test_near_duplicates_are_found(spark):
         assert (found[a] == found[b]) == close
 
 
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_sketches_of_texts_without_copies_are_not_shuffled(spark, monkeypatch, tmp_path, most):
+    monkeypatch.setattr(_common, "BROADCAST_KEYS", most)
+    docs = spark.createDataFrame([(i, f"text {i % 70}") for i in range(100)] + [(None, None), (7, "")], "doc_id long, text string")
+    rows = stored(order_minhash.sketched(docs))
+    got = order_minhash.one_each(rows)
+    assert got.columns == ["t", "n", "s", "p"]
+    assert {r["t"]: (r["n"], r["s"], r["p"]) for r in got.collect()} == {r["t"]: (r["n"], r["s"], r["p"]) for r in rows.collect()}
+    assert got.count() == 71
+    pairs = order_minhash.twice(spark.createDataFrame([("k", "a", 1, [1], "a"), ("k", "b", 2, [2], "b"), ("j", "a", 1, [1], "a")], "key string, t string, n int, p array<long>, root string"), "key")
+    assert sorted((r["t"], r["u"], r["n"], r["m"], r["v"]) for r in pairs.collect()) == [("a", "a", 1, 1, "a"), ("a", "a", 1, 1, "a"), ("a", "b", 1, 2, "b"), ("b", "a", 2, 1, "a"), ("b", "b", 2, 2, "b")]
+
+
 def test_large_buckets_link_all(spark, monkeypatch):
     """One group of a thousand near copies beside as many texts that share only a passage with each other."""
     monkeypatch.setattr(order_minhash, "SMALL", 4)
