@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -200,26 +200,22 @@ def find(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: i
 
 
 def remove(found: DataFrame, most: float = 0.5) -> DataFrame:
-    """Texts without their hit ranges; documents of which more than `most` of the words are hit go altogether."""
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = []
-            for text, hits in zip(batch.column("text").to_pylist(), batch.column("hits").to_pylist(), strict=True):
-                if hits:
-                    at = [(m.start(), m.end()) for m in _WORD.finditer(text)]
-                    keep, last = [], 0
-                    for h in hits:
-                        keep.append(text[last : at[h["start"]][0]])
-                        last = at[h["end"] - 1][1]
-                    text = "".join([*keep, text[last:]])
-                texts.append(text)
-            names = [k for k in batch.schema.names if k != "hits"]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if k == "text" else batch.column(k) for k in names], names)
+    """Texts without their hit ranges; documents of which more than `most` of the words are hit go altogether.
 
+    A column expression, so that no task needs a second Python worker beside that of `find`.
+    """
+    # gaps and words in turn: word i is between gap i and gap i + 1; what stays are the stretches from a gap to a gap
+    gaps, found_words = F.split("text", _WORD.pattern, -1), F.regexp_extract_all("text", F.lit(_WORD.pattern), F.lit(0))
+    parts = F.flatten(F.zip_with(gaps, found_words, lambda g, w: F.array(g, F.coalesce(w, F.lit("")))))
+
+    def left(all_: Column) -> Column:
+        starts, ends = F.concat(F.array(F.lit(0)), F.col("hits.end")), F.concat(F.col("hits.start"), F.array(F.floor(F.size(all_) / 2).cast("int") - 1))
+        return F.array_join(F.zip_with(starts, ends, lambda a, b: F.array_join(F.slice(all_, 2 * a + 1, 2 * (b - a) + 1), "")), "")
+
+    cut = F.get(F.transform(F.array(parts), left), F.lit(0))
     share = F.aggregate("hits", F.lit(0), lambda a, h: a + h["end"] - h["start"]) / F.greatest(F.col("n_words"), F.lit(1))
-    kept = found.where(share <= most).drop("n_words", "hit_items")
-    return kept.mapInArrow(cut, T.StructType([f for f in kept.schema.fields if f.name != "hits"]))
+    kept = found.where(share <= most).withColumn("text", F.when(F.size("hits") > 0, cut).otherwise(F.col("text")))
+    return kept.drop("n_words", "hit_items", "hits")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import cached_property, lru_cache
 from itertools import islice
 
 import numpy as np
@@ -43,20 +44,27 @@ class Encoder:
     """Texts to ids as little-endian 32-bit bytes: the ids of a `tokenizers` byte-level BPE file.
 
     The merges run in tiktoken, which is several times faster on one core, over ranks taken from the same file (an id
-    is its merge's rank there). A text with the file's special strings goes to `tokenizers` itself.
+    is its merge's rank there). A text with the file's special strings goes to `tokenizers` itself, which is only kept
+    in memory once there is one.
     """
 
     def __init__(self, path: str) -> None:
         import tiktoken
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.path, tokenizer = path, Tokenizer.from_file(path)
+        self.special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         byte = {chr(c): b for b, c in _byte_characters()}
-        ranks = {bytes(byte[c] for c in w): i for w, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if w not in self.special}
+        ranks = {bytes(byte[c] for c in w): i for w, i in tokenizer.get_vocab(with_added_tokens=False).items() if w not in self.special}
         made = lambda name, pattern: tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.spaced, self.plain = made("spaced", rf"{_WORDS}|\s+(?!\S)|\s+"), made("plain", rf"{_WORDS}|\s+")
 
+    @cached_property
+    def tokenizer(self):  # noqa: ANN201
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def __call__(self, text: str) -> bytes:
         if any(s in text for s in self.special):
             return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -64,6 +72,12 @@ class Encoder:
         return np.asarray((self.spaced if _RUN.search(text) else self.plain).encode_ordinary(text), "<u4").tobytes()
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> Encoder:
+    """One for all tasks of a worker."""
+    return Encoder(path)
+
+
 def _byte_characters() -> list[tuple[int, int]]:
     """Byte-level BPE writes a byte as a printable character: itself, or the next one from 256 on."""
     shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -136,7 +150,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
     schema = PIECES if ids else T.StructType(PIECES.fields[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, packer, tail = Encoder(tokenizer), Packer(capacity, waste), np.asarray([end_id], "<u4").tobytes()
+        encode, packer, tail = _encoder(tokenizer), Packer(capacity, waste), np.asarray([end_id], "<u4").tobytes()
         # sequence ids: the task's partition in the upper bits, so that workers need not agree
         base = TaskContext.get().partitionId() << 40
 

@@ -239,6 +239,37 @@ def test_spans_are_removed(spark):
     assert out == {1: f"{clean} ! {clean}", 3: clean, 4: None}
 
 
+def test_spans_are_cut_beside_one_python_worker(spark):
+    """Texts without their hits, as by hand, and no second Python step in a task."""
+    rng = random.Random(5)
+    signs, pool = [" ", ", ", "\n", " - ", "!", "\u00a0 .", "[", "' "], ["Äb", "c9", "Zé", "日本", "x", "😀", "Don"]
+    rows = []
+    for i in range(60):
+        ws = [rng.choice(pool) for _ in range(rng.randrange(0, 30))]
+        rows.append((i, rng.choice(["", "(", " "]) + "".join(w + rng.choice(signs) for w in ws)[: rng.choice([None, -1])]))
+    hits = []
+    for _, text in rows:
+        n, spans, at = len(decontaminate.words(text)), [], rng.randrange(3)
+        while at < n:
+            end = min(n, at + rng.randrange(1, 5))
+            spans.append((at, end))
+            at = end + rng.randrange(1, 6)
+        hits.append((n, spans))
+    want = {}
+    for (i, text), (n, spans) in zip(rows, hits, strict=True):
+        where, out, last = [m.span() for m in decontaminate._WORD.finditer(text)], [], 0
+        assert len(where) == n
+        for a, b in spans:
+            out.append(text[last : where[a][0]])
+            last = where[b - 1][1]
+        want[i] = "".join([*out, text[last:]])
+    found = spark.createDataFrame([(i, t, n, s, []) for (i, t), (n, s) in zip(rows, hits, strict=True)], "doc_id long, text string, n_words long, hits array<struct<start:int,end:int>>, hit_items array<long>")
+    assert {r["doc_id"]: r["text"] for r in decontaminate.remove(found, most=1.0).collect()} == want
+    items = spark.createDataFrame([(1, "a b")], "item_id long, text string")
+    plan = decontaminate.remove(decontaminate.find(found.select("doc_id", "text"), items))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
 # 6
 
 
