@@ -257,9 +257,9 @@ def twice(rows: DataFrame, key: str) -> DataFrame:
     Both sides take the same columns under new names, so Spark shuffles them once.
     """
     names = {"t": "u", "n": "m", "p": "q", "root": "v"} | ({"before": "other"} if "before" in rows.columns else {})
-    one = rows.select(F.col(key).alias("_x"), *[F.col(c).alias(c) for c in names])
+    one = rows.select(F.col(key).alias("_x"), *[F.col(c).alias(f"_{c}") for c in names])
     other = rows.select(F.col(key).alias("_y"), *[F.col(c).alias(d) for c, d in names.items()])
-    return one.join(other, F.col("_x") == F.col("_y"))
+    return one.join(other, F.col("_x") == F.col("_y")).select(*[F.col(f"_{c}").alias(c) for c in names], *names.values())
 
 
 def one_each(rows: DataFrame) -> DataFrame:

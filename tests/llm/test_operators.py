@@ -342,6 +342,20 @@ def test_sketches_of_texts_without_copies_are_not_shuffled(spark, monkeypatch, t
     assert sorted((r["t"], r["u"], r["n"], r["m"], r["v"]) for r in pairs.collect()) == [("a", "a", 1, 1, "a"), ("a", "a", 1, 1, "a"), ("a", "b", 1, 2, "b"), ("b", "a", 2, 1, "a"), ("b", "b", 2, 2, "b")]
 
 
+def test_a_table_that_meets_itself_is_shuffled_once(spark):
+    rows = stored(spark.createDataFrame([("k", [5], "a", 1, [1], "a"), ("k", [6], "b", 2, [2], "b")], "g string, before array<long>, t string, n int, p array<long>, root string"))
+    held = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        met = order_minhash.twice(rows, "g").where("t < u AND root <> v AND n < m AND NOT arrays_overlap(before, other)")
+        assert "ReusedExchange" in met._jdf.queryExecution().executedPlan().toString()
+        assert [(r["t"], r["u"]) for r in met.collect()] == [("a", "b")]
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+
+
 def test_large_buckets_link_all(spark, monkeypatch):
     """One group of a thousand near copies beside as many texts that share only a passage with each other."""
     monkeypatch.setattr(order_minhash, "SMALL", 4)
