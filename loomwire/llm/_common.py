@@ -29,7 +29,7 @@ def only(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     the caller's join drops it. The count is checked first, and beyond the bound the rows are shuffled.
     """
     if few(wanted):
-        hashed = wanted.select(F.xxhash64(key).alias("_h")).distinct()
+        hashed = wanted.select(F.xxhash64(key).alias("_h"))
         return rows.join(F.broadcast(hashed), F.xxhash64(rows[key]) == hashed["_h"], "left_semi")
     return rows.join(wanted, key, "left_semi")
 

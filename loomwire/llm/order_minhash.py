@@ -23,6 +23,7 @@ empty table gives no rows; other columns are ignored (`query`) or kept (`keep_fi
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
@@ -35,7 +36,7 @@ from pyspark.sql.window import Window
 from loomwire.llm._common import few, only, read
 from loomwire.llm.banded import within
 from loomwire.llm.line_dedup import probes, segments
-from loomwire.operators.graph import components
+from loomwire.operators.graph import components, extended, spread
 from loomwire.storage import discard, stored
 
 WORDS, SKETCHES, DRAWN, SIMILARITY = 5, 96, 2, 0.8
@@ -49,8 +50,8 @@ SMALL = 32
 MET = 2
 #: Words before a rare word that are kept with it.
 WINDOW = 16
-#: Counters that order words by frequency; 8 bytes each, whatever the input.
-COUNTERS = 1 << 18
+#: Counters that order words by frequency and tell those of one class; 9 bytes each, whatever the input.
+COUNTERS = 1 << 20
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
 
 
@@ -180,19 +181,30 @@ def sketched(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.md5(text).alias("t"), text.alias("text")).mapInArrow(run, "doc_id long, t string, n int, s array<long>, p array<long>")
 
 
+def common_words(words: list[bytes], other: Counter) -> int:
+    """How many words two texts have in common, repeated ones as often as both have them; an edit takes one at most."""
+    return sum(min(c, other[w]) for w, c in Counter(words).items() if w in other)
+
+
 def similar(edges: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The edges (a, b, further columns) whose texts are similar enough, by banded alignment; texts has t and text."""
+    """The edges (a, b, further columns) whose texts are similar enough, by banded alignment; texts has t and text.
+
+    Pairs with too few words in common for any alignment are ruled out by their counts of words.
+    """
     names = edges.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[str, list[bytes]] = ("", [])
+        last: tuple[str, list[bytes], Counter] = ("", [], Counter())
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("_x"), batch.column("_y"), strict=True):
                 if last[0] != (right := y.as_py()):
-                    last = (right, right.encode("utf-8", "replace").split())
+                    words = right.encode("utf-8", "replace").split()
+                    last = (right, words, Counter(words))
                 p, q = x.as_py().encode("utf-8", "replace").split(), last[1]
-                keep.append(within(p, q, int((1 - similarity) * max(len(p), len(q)) + 1e-9)) is not None)
+                longer = max(len(p), len(q))
+                edits = int((1 - similarity) * longer + 1e-9)
+                keep.append(longer - common_words(p, last[2]) <= edits and within(p, q, edits) is not None)
             yield batch.select(names).filter(pa.array(keep, pa.bool_()))
 
     own = texts.select(F.col("t").alias("a"), F.col("text").alias("_x"))
@@ -204,8 +216,9 @@ def rare_words(rows: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     """g, before, t, n, p, root: as many of each text's rarest words as `rare_words_needed` says. rows has t, n, p and root.
 
     A word that a text repeats counts as so many different ones. Words are ordered by how often these texts hold them,
-    estimated by counters of fixed number, then by hash. `before` has the WINDOW words before g in that order: two texts
-    that share one of those have met there, so they needn't meet at g.
+    estimated by counters of fixed number, then by hash. A word whose counter has seen one root only makes no pair and is
+    left out. `before` has the WINDOW words before g among the others: two texts that share one of those have met there,
+    so they needn't meet at g.
     """
 
     names = ["t", "n", "p", "root"]
@@ -214,25 +227,31 @@ def rare_words(rows: DataFrame, texts: DataFrame, similarity: float) -> DataFram
         return kmers(word_hashes((text.as_py() or "").encode("utf-8", "replace").split()), 1)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, np.int64)
+        total, lo, hi = np.zeros(COUNTERS, np.int64), np.full(COUNTERS, 2**63 - 1), np.full(COUNTERS, -(2**63))
         with np.errstate(over="ignore"):
             for batch in batches:
                 for low in range(0, len(batch), 256):
-                    some = np.concatenate([grams(text) for text in batch.slice(low, 256).column("text")])
-                    total += np.bincount((some % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+                    some = batch.slice(low, 256)
+                    each = [grams(text) for text in some.column("text")]
+                    slots = (np.concatenate(each) % np.uint64(COUNTERS)).astype(np.int64)
+                    roots = np.repeat(some.column("h").to_numpy(), [len(g) for g in each])
+                    np.add.at(total, slots, 1)
+                    np.minimum.at(lo, slots, roots)
+                    np.maximum.at(hi, slots, roots)
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["slot", "c"])
+        yield pa.RecordBatch.from_arrays([pa.array(at), *[pa.array(x[at]) for x in (total, lo, hi)]], ["slot", "c", "lo", "hi"])
 
     def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = seen.value
+        counts, mixed = seen.value
         with np.errstate(over="ignore"):
             for batch in batches:
                 for low in range(0, len(batch), 256):  # so many texts' words at a time
                     some, take, out, before = batch.slice(low, 256), [], [], []
                     for text, n in zip(some.column("text"), some.column("n").to_pylist(), strict=True):
                         g = grams(text)
-                        rarest = np.lexsort((g, counts[(g % np.uint64(COUNTERS)).astype(np.int64)]))[: rare_words_needed(n, similarity)]
-                        rank = g[rarest].view(np.int64)
+                        slots = (g % np.uint64(COUNTERS)).astype(np.int64)
+                        rarest = np.lexsort((g, counts[slots]))[: rare_words_needed(n, similarity)]
+                        rank = g[rarest[mixed[slots[rarest]]]].view(np.int64)
                         out.append(rank)
                         take.append(len(rank))
                         before += [rank[max(0, i - WINDOW) : i] for i in range(len(rank))]
@@ -242,10 +261,12 @@ def rare_words(rows: DataFrame, texts: DataFrame, similarity: float) -> DataFram
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), lists, *[some.column(c).take(at) for c in names]], ["g", "before", *names])
 
     full = stored(rows.join(texts, "t").select(*names, "text"))
-    table = np.zeros(COUNTERS, np.int64)
-    sums = full.select("text").mapInArrow(counted, "slot long, c long").groupBy("slot").agg(F.sum("c").alias("c")).toArrow()
-    table[sums["slot"].to_numpy()] = sums["c"].to_numpy()
-    seen = rows.sparkSession.sparkContext.broadcast(table)
+    table, several = np.zeros(COUNTERS, np.int64), np.zeros(COUNTERS, bool)
+    sums = full.select("text", F.xxhash64("root").alias("h")).mapInArrow(counted, "slot long, c long, lo long, hi long").groupBy("slot")
+    sums = sums.agg(F.sum("c").alias("c"), (F.min("lo") != F.max("hi")).alias("several")).toArrow()
+    at = sums["slot"].to_numpy()
+    table[at], several[at] = sums["c"].to_numpy(), sums["several"].to_numpy()
+    seen = rows.sparkSession.sparkContext.broadcast((table, several))
     out = stored(full.mapInArrow(picked, "g long, before array<long>, t string, n int, p array<long>, root string"))
     discard(full)
     return out
@@ -271,7 +292,7 @@ def one_each(rows: DataFrame) -> DataFrame:
     copied = stored(rows.groupBy("t").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("t"))
     grouped = lambda some: some.groupBy("t").agg(F.first("n").alias("n"), F.first("s").alias("s"), F.first("p").alias("p"))
     if few(copied):
-        hashed = F.broadcast(copied.select(F.xxhash64("t").alias("_h")).distinct())
+        hashed = F.broadcast(copied.select(F.xxhash64("t").alias("_h")))
         same = F.xxhash64(rows["t"]) == hashed["_h"]
         out = stored(rows.join(hashed, same, "left_anti").select("t", "n", "s", "p").unionByName(grouped(rows.join(hashed, same, "left_semi"))))
     else:
@@ -291,10 +312,11 @@ def roots(items: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) ->
 
     def verified(edges: DataFrame) -> DataFrame:
         """The similar ones of stored edges (a, b)."""
-        used = stored(edges.select(F.col("a").alias("t")).unionByName(edges.select(F.col("b").alias("t"))).distinct())
+        ends = edges.select(F.explode(F.array("a", "b")).alias("t"))
+        used = ends if few(ends) else stored(ends.distinct())
         fetched = stored(texts(used))
         out = stored(similar(edges, fetched, similarity))
-        discard(used, fetched)
+        discard(fetched, *[used][: used is not ends])
         return out
 
     # digests are spread evenly: the first 28 bits, in the order of the digests, tell a bucket's least text but for a few
@@ -311,11 +333,11 @@ def roots(items: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) ->
 
     def mixed(rows: DataFrame, known: DataFrame) -> DataFrame:
         """The rows (key, t, ..) of the buckets that hold more than one class, with their classes' roots."""
-        now = rows.join(known.select(F.col("node").alias("t"), F.col("root").alias("to")), "t", "left").withColumn("root", F.coalesce("to", "t")).drop("to")
+        now = rows.join(spread(known).select(F.col("node").alias("t"), F.col("root").alias("to")), "t", "left").withColumn("root", F.coalesce("to", "t")).drop("to")
         now = stored(now)
-        keys = now.groupBy("key").agg(F.min(F.xxhash64("root")).alias("lo"), F.max(F.xxhash64("root")).alias("hi")).where("lo <> hi").select("key")
-        out = stored(now.join(keys, "key"))
-        discard(now)
+        keys = stored(now.groupBy("key").agg(F.min(F.xxhash64("root")).alias("lo"), F.max(F.xxhash64("root")).alias("hi")).where("lo <> hi").select("key"))
+        out = stored(now.join(F.broadcast(keys) if few(keys) else keys, "key"))
+        discard(now, keys)
         return out
 
     # in large buckets every text outside the largest class meets some of that class, so that drifted copies join it
@@ -331,23 +353,22 @@ def roots(items: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) ->
     met = stored(met.select(F.least("t", "u").alias("a"), F.greatest("t", "u").alias("b")).distinct().join(asked, ["a", "b"], "left_anti"))
     more = verified(met)
     asked, before = asked.unionByName(met), known
-    known = components(before.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(more))
+    known = extended(before, more)
     discard(large, found, before, more)
     before, left = left, mixed(left.drop("root"), known)
     discard(before)
 
     near = twice(left.where(F.col("size") <= SMALL), "key").where((F.col("t") < F.col("u")) & (F.col("root") != F.col("v")) & _may_be_similar("n", "m", "p", "q", similarity))
-    pairs = stored(near.select(F.col("t").alias("a"), F.col("u").alias("b")).distinct())
+    near = near.select(F.col("t").alias("a"), F.col("u").alias("b"))
 
     large = stored(left.where(F.col("size") > SMALL).groupBy("t").agg(*[F.first(c).alias(c) for c in ("n", "p", "root")]))
-    every = rare_words(large, texts(large.select("t")), similarity)
-    words = stored(every.groupBy("g").agg(F.min(F.xxhash64("root")).alias("lo"), F.max(F.xxhash64("root")).alias("hi")).where("lo <> hi").select("g"))
-    rare = stored(every.join(F.broadcast(words) if few(words) else words, "g"))
+    rare = rare_words(large, texts(large.select("t")), similarity)
     met = twice(rare, "g").where((F.col("t") < F.col("u")) & (F.col("root") != F.col("v")) & _may_be_similar("n", "m", "p", "q", similarity) & ~F.arrays_overlap("before", "other"))
     met = met.select(F.col("t").alias("a"), F.col("u").alias("b"))
-    rest = stored(pairs.unionByName(met).distinct().join(asked, ["a", "b"], "left_anti"))
-    out = components(known.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(verified(rest)))
-    discard(known, left, pairs, large, every, words, rare, rest)
+    rest = stored(near.unionByName(met).distinct().join(asked, ["a", "b"], "left_anti"))
+    more = verified(rest)
+    out = extended(known, more)
+    discard(known, left, large, rare, rest, more)
     return out
 
 

@@ -6,7 +6,7 @@ import hashlib
 import math
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from fractions import Fraction
 from itertools import combinations
 
@@ -356,6 +356,26 @@ def test_a_table_that_meets_itself_is_shuffled_once(spark):
             spark.conf.set(k, v)
 
 
+def test_words_of_one_class_make_no_rows(spark):
+    """Words that one class only holds are left out where they are picked, without a join, and no shared one is."""
+    texts = [("a", "r1", "one two three own1"), ("b", "r1", "one two three own2"), ("c", "r2", "two three four own3"), ("d", "r3", "five five five own4")]
+    rows = stored(spark.createDataFrame([(t, 4, [0] * 8, root) for t, root, _ in texts], "t string, n int, p array<long>, root string"))
+    got = order_minhash.rare_words(rows, spark.createDataFrame([(t, text) for t, _, text in texts], "t string, text string"), 0.1).collect()
+    held = {}
+    for r in got:
+        held.setdefault(r["g"], set()).add((r["t"], r["root"]))
+    assert sorted(sorted(t for t, _ in x) for x in held.values()) == [["a", "b", "c"], ["a", "b", "c"]]
+    assert all(set(r["before"]) <= set(held) - {r["g"]} for r in got)
+
+
+def test_common_words_bound_the_distance():
+    rng = random.Random(5)
+    for _ in range(300):
+        p, q = ([rng.choice("abcdef").encode() for _ in range(rng.randrange(12))] for _ in range(2))
+        assert edit_distance(p, q) >= max(len(p), len(q)) - order_minhash.common_words(p, Counter(q))
+    assert order_minhash.common_words([b"x", b"x", b"y"], Counter([b"x", b"y", b"y", b"z"])) == 2
+
+
 def test_large_buckets_link_all(spark, monkeypatch):
     """One group of a thousand near copies beside as many texts that share only a passage with each other."""
     monkeypatch.setattr(order_minhash, "SMALL", 4)
