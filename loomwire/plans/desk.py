@@ -20,7 +20,7 @@ _SRC_JOIN = f"j AS (SELECT e.*, {_EVENT_TIME} AS event_time, a.url, a.title, s.n
 
 def _joined_events(spark: SparkSession, d: str) -> DataFrame:
     """Events with their article and source, both of which may be missing, and their own time where known."""
-    at = F.when(F.col("event_id") % 3 == 0, F.timestamp_seconds(F.unix_timestamp("created_at") - (F.col("event_id") % 5) * 3600))
+    at = F.when(F.col("event_id") % 3 == 0, F.timestamp_micros(F.unix_micros("created_at") - (F.col("event_id") % 5) * 3_600_000_000))
     e = M.events(spark, d).withColumn("event_time", at)
     a = M.articles(spark, d).select(F.col("doc_id").alias("event_id"), "url", "title", F.col("source").alias("name"))
     s = M.sources(spark, d).select("name", F.col("name").alias("source"))
